@@ -1,6 +1,11 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
+from keyloom.llm import sql
+from keyloom.llm.decontaminate import op10_benchmark_hits
+from keyloom.llm.mixing import op2_mix_sources
 from keyloom.llm.ngram_join import op1_ngram_jaccard_join
+from keyloom.llm.sharding import op3_balanced_shards
+from keyloom.llm.warc import op9_warc_capture_index
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_balanced_shards, op9_warc_capture_index, op10_benchmark_hits)}
+SQL: dict[str, str] = {k: v for k, v in sql.SQL.items() if k in QUERIES}

@@ -44,3 +44,27 @@ def ngram_join(docs):
                 edges.add((i, j))
     root = roots(by, edges)
     return {i: (len(s), root[i]) for i, s in sets}
+
+
+def items_hits(docs, items, window=13):
+    import hashlib
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    phrases = {}
+    for item, text in items:
+        w = tuple(word.findall(lower(text or "")))
+        k = min(window, len(w))
+        for i in range(len(w) - k + 1) if w else ():
+            phrases.setdefault(w[i : i + k], set()).add(str(item))
+    sizes = {len(p) for p in phrases}
+    out = {}
+    for doc, text in docs:
+        w = tuple(word.findall(lower(text or "")))
+        hit, found = set(), set()
+        for k in sizes:
+            for i in range(len(w) - k + 1):
+                if p := phrases.get(w[i : i + k]):
+                    hit.update(range(i, i + k))
+                    found |= p
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
