@@ -86,3 +86,42 @@ def pii(text):
     ]
     out = [(m.start(), i, m.end(), k) for i, (k, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m[0])]
     return [(s, e, k) for s, _, e, k in sorted(out)]
+
+
+def word_repeats(docs, window=13):
+    import hashlib
+
+    first, out = {}, {}
+    split = {i: WORD.findall(t or "") for i, t in docs}
+    for i, w in split.items():
+        for j in range(len(w) - window + 1):
+            k = tuple(w[j : j + window])
+            first[k] = min(first.get(k, i), i)
+    for i, w in split.items():
+        gone = set()
+        for j in range(len(w) - window + 1):
+            if first[tuple(w[j : j + window])] < i:
+                gone.update(range(j, j + window))
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    return out
+
+
+def byte_repeats(docs, window=100):
+    import hashlib
+
+    first, out = {}, {}
+    docs = sorted((i, (t or "").encode()) for i, t in docs)
+    for i, t in docs:
+        for j in range(len(t) - window + 1):
+            first.setdefault(t[j : j + window], (i, j))
+    for i, t in docs:
+        gone = bytearray(len(t))
+        upto = 0
+        for j in range(len(t) - window + 1):
+            if first[t[j : j + window]] != (i, j):
+                for k in range(max(j, upto), j + window):
+                    gone[k] = 1
+                upto = j + window
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(t)))
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(c for k, c in enumerate(t) if not gone[k])).hexdigest())
+    return out
