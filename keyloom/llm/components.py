@@ -16,24 +16,23 @@ from pyspark.sql import functions as F
 from keyloom.sources.tables import cut_lineage
 
 
-def find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its tree) that join what the given edges join."""
     nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-    parent = np.arange(len(nodes))
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-        x, y = find(parent, x), find(parent, y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    root = np.array([find(parent, i) for i in range(len(nodes))], np.int64)
-    out = root != np.arange(len(nodes))
-    return nodes[out], nodes[root[out]]
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = label != np.arange(len(nodes))
+    return nodes[out], nodes[label[out]]
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,10 +63,11 @@ def apportion(parties: DataFrame, by: list[str], key: list[Column], weight: str,
     return won.groupBy(*by, "__id").agg(*[F.first(c).alias(c) for c in kept if c not in by], seated.alias(name)).drop("__id")
 
 
-def mix(docs: DataFrame, most: int = MOST, block_words: int = BLOCK_WORDS, weights: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, most: int = MOST, block_words: int = BLOCK_WORDS, weights: Column | None = None, carry: list[Column] | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, shard, taken). `weights` is an expression over `source` and its
-    0-based `place` by code point; unset, sources weigh 1, 2, 3, repeating."""
-    sized = cut_lineage(docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size")))
+    0-based `place` by code point; unset, sources weigh 1, 2, 3, repeating. `carry` are more columns of the documents, kept beside."""
+    sized = cut_lineage(docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size"), *(carry or [])))
+    more = sized.columns[3:]
     rows = sized.count()
     shards = 1
     while shards * ROWS_A_SHARD < rows:
@@ -91,7 +92,20 @@ def mix(docs: DataFrame, most: int = MOST, block_words: int = BLOCK_WORDS, weigh
     turns = F.when(F.col("cell_size") > 0, F.floor(F.col("words") / F.col("cell_size"))).otherwise(F.lit(0))
     rest = F.col("words") - turns * F.col("cell_size")
     taken = turns * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return both.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("shard").cast("int").alias("shard"), taken.cast("long").alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("shard").cast("int").alias("shard"), taken.cast("long").alias("taken"), *more)
+
+
+def take(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The mixed corpus: each text becomes the words that are taken of it. Whole turns stand on lines of their own; of a last turn
+    that is not whole the first words are taken. Documents of which nothing is taken are left out; equal rows are treated alike."""
+    row = F.xxhash64("text", "source")
+    taken = mix(docs, most, carry=[row.alias("__row")]).groupBy(F.col("doc_id").alias("__doc"), "__row").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size")).filter("__taken > 0")
+    both = docs.withColumn("__own", row).join(taken, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__row")))
+    rest = F.col("__taken") % F.col("__size")
+    words = F.array_join(F.slice(F.array_remove(F.split("text", BETWEEN), ""), 1, rest.cast("int")), " ")
+    whole = F.repeat(F.concat("text", F.lit("\n")), (F.floor(F.col("__taken") / F.col("__size")) - 1).cast("int"))
+    text = F.when(rest == 0, F.concat(whole, "text")).when(F.col("__taken") < F.col("__size"), words).otherwise(F.concat(whole, "text", F.lit("\n"), words))
+    return both.withColumn("text", text).select(*docs.columns)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.blobs import bucket_count, deal, group_starts, undeal
-from keyloom.llm.components import components, find
+from keyloom.llm.components import components
 from keyloom.llm.text import chunks, identified, mix, shingle_sets
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
 

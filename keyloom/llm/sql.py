@@ -22,3 +22,46 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated FROM dw d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+SQL["op8_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u),
+comp AS (SELECT u, min(w) AS c FROM reach GROUP BY u)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.u = v.vec_id) AS n_links, comp.c AS component_id, v.vec_id = comp.c AS kept FROM v JOIN comp ON comp.u = v.vec_id
+"""
+
+SQL["op2_mix_sources"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT CAST(pow(2, greatest(0, ceil(log2(count(*) / 4096.0)))) AS BIGINT) AS shards FROM d),
+p AS (SELECT d.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM d, k),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM p GROUP BY source),
+s1 AS (SELECT *, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(weight) OVER () AS BIGINT) AS weights, count(*) OVER () AS n FROM s0),
+s2 AS (SELECT *, total - CAST(coalesce(sum(cap) OVER w, 0) AS BIGINT) AS left_t, weights - CAST(coalesce(sum(weight) OVER w, 0) AS BIGINT) AS left_w FROM s1 WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, cap * left_w < left_t * weight AS is_full FROM s2),
+lv AS (SELECT left_t AS lt, left_w AS lw FROM s3 WHERE NOT is_full ORDER BY cap / weight LIMIT 1),
+s4 AS (SELECT source, source_size, total, n, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE least(weight * CAST(lt AS DOUBLE) / lw, CAST(cap AS DOUBLE)) END AS target FROM s3, lv),
+s5 AS (SELECT *, greatest(1, least(16, total // (1000 * n))) AS block FROM s4),
+s6 AS (SELECT *, (total + block // 2) // block AS blocks FROM s5),
+q AS (SELECT source, i, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source NULLS LAST, i) AS r, blocks FROM s6, generate_series(0, 200000) t(i) WHERE target > 0 AND i <= target / block + n + 2),
+sb AS (SELECT s6.*, coalesce(b, 0) AS source_blocks FROM s6 LEFT JOIN (SELECT source, count(*) AS b FROM q WHERE r <= blocks GROUP BY source) x ON x.source IS NOT DISTINCT FROM s6.source),
+cell AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS cell_size FROM p GROUP BY source, shard),
+c1 AS (SELECT sb.source, shard, cell_size, source_size, source_blocks, block, target, count(*) OVER (PARTITION BY sb.source) AS nc FROM cell JOIN sb ON cell.source IS NOT DISTINCT FROM sb.source),
+cq AS (SELECT source, shard, source_blocks, row_number() OVER (PARTITION BY source ORDER BY cell_size / (2 * i + 1) DESC, shard, i) AS r FROM c1, generate_series(0, 200000) t(i) WHERE cell_size > 0 AND i <= cell_size * source_blocks / source_size + nc + 2),
+c2 AS (SELECT c1.*, coalesce(b, 0) AS cell_blocks FROM c1 LEFT JOIN (SELECT source, shard, count(*) AS b FROM cq WHERE r <= source_blocks GROUP BY source, shard) x ON x.source IS NOT DISTINCT FROM c1.source AND x.shard = c1.shard),
+c3 AS (SELECT *, least(cell_blocks * block, cell_size * 3) AS words FROM c2),
+o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior FROM p)
+SELECT o.doc_id, o.size, c3.source_size, c3.target, CASE WHEN cell_size = 0 THEN 0 ELSE CAST((words // cell_size) * size + greatest(0, least(size, words % cell_size - prior)) AS BIGINT) END AS taken
+FROM o JOIN c3 ON o.source IS NOT DISTINCT FROM c3.source AND o.shard = c3.shard
+"""
+
+SQL["op5_substring_fm_index"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase FROM d, generate_series(1, 1000000) t(i) WHERE i <= len(w) - 12),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM later, generate_series(0, 12) t(j)),
+kept AS (SELECT d.doc_id, string_agg(w[p], ' ' ORDER BY p) AS text FROM d, generate_series(1, 1000000) t(p) WHERE p <= len(w) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.pos = p) GROUP BY d.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

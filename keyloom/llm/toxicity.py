@@ -238,6 +238,23 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
     return identified(docs).mapInArrow(run, "doc_id long, score double, spans array<struct<start: bigint, end: bigint>>")
 
 
+def keep_clean(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below `threshold`, with all columns and without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = shared.value
+        for b in batches:
+            scores = [np.zeros(0)]
+            numbered = pa.record_batch({"at": np.arange(b.num_rows), "text": b.column("text")})
+            for t in chunks(numbered, "at", most=8 << 20):
+                x, first, _, _ = tokens(t)
+                scores.append(crf.score(features(marginals(crf.emit[x].sum(axis=1), first, crf.trans, crf.start), first)))
+            yield b.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
