@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.blobs import bucket_count, deal, group_starts, undeal
+from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, undeal
 from keyloom.llm.components import components
 from keyloom.llm.text import chunks, identified, mix, shingle_sets
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
@@ -52,7 +52,16 @@ def set_id(s: np.ndarray) -> int:
 def point(s: np.ndarray) -> np.ndarray:
     """Counts of the groups of a set. The number of groups is a power of two about a quarter of the set; halves fold."""
     g = 1 << int(np.clip(np.ceil(np.log2(max(len(s), 1) / 4 + 1)), 4, 12))
-    return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16 if len(s) < 65536 else np.uint32)
+    return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(width(len(s)))
+
+
+def width(n: int) -> type:
+    """What holds any count of a set of n."""
+    return np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
+
+
+def counts_of(point: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(point.as_buffer(), width(n)).astype(np.int64)
 
 
 def fold(p: np.ndarray, g: int) -> np.ndarray:
@@ -144,7 +153,8 @@ def frequent(surveyed: DataFrame) -> np.ndarray:
 
 
 def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
-    """What shares a leading shingle: rows (kind 0, a, b) are pairs; rows (kind 1, group, set) are members of large groups."""
+    """What shares a leading shingle: rows (kind 0, a, b) are pairs; (kind 1, group, set) members of large groups; and (kind 2, set, n,
+    point) the point of each set."""
     buckets = bucket_count(docs)
     known = docs.sparkSession.sparkContext.broadcast(order)  # at most FREQUENT_LIMIT values
 
@@ -155,11 +165,17 @@ def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFram
         return np.concatenate([s[rare][:keep], s[~rare][: max(0, keep - int(rare.sum()))]])
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen, names, sizes, points = [], 0, set(), [], [], []
 
         def pack() -> pa.RecordBatch:
             r = np.concatenate(held)
-            return deal(r, r["token"], buckets)
+            a, n = deal(r, r["token"], buckets), len(names)
+            none = lambda m, t: pa.nulls(m, t)
+            return pa.record_batch({
+                "bucket": pa.concat_arrays([a.column(0), pa.array(bucket_of(np.array(names, np.uint64), buckets).astype(np.int32))]), "blob": pa.concat_arrays([a.column(1), none(n, pa.binary())]),
+                "set": pa.concat_arrays([none(a.num_rows, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64))]), "n": pa.concat_arrays([none(a.num_rows, pa.int64()), pa.array(sizes, pa.int64())]),
+                "point": pa.concat_arrays([none(a.num_rows, pa.binary()), pa.array(points, pa.binary())]),
+            })
 
         for b in batches:
             for t in chunks(b):
@@ -172,14 +188,17 @@ def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFram
                     r["token"], r["set"], r["n"] = lead, name, len(s)
                     held.append(r)
                     size += len(r)
+                    names.append(name)
+                    sizes.append(len(s))
+                    points.append(point(s).tobytes())
                 if size >= FLUSH:
                     yield pack()
-                    held, size, seen = [], 0, set()
+                    held, size, seen, names, sizes, points = [], 0, set(), [], [], []
         if size:
             yield pack()
 
     def meet(table: pa.Table) -> pa.Table:
-        r = undeal(table.column("blob"), POSTING)
+        r = undeal(table.column("blob").drop_null(), POSTING)
         r = r[np.lexsort((r["set"], r["token"]))]
         r = r[np.r_[True, (r["token"][1:] != r["token"][:-1]) | (r["set"][1:] != r["set"][:-1])]] if len(r) else r
         at = group_starts(r["token"])
@@ -195,43 +214,57 @@ def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFram
             pairs.append(np.unique(np.stack([a["set"][ok], b["set"][ok]], axis=1), axis=0))
         p = np.unique(np.sort(np.concatenate(pairs).view(np.int64), axis=1), axis=0)
         large = np.repeat(size >= FREQUENT, size)
-        kind = np.r_[np.zeros(len(p), np.int32), np.ones(int(large.sum()), np.int32)]
-        return pa.table({"kind": kind, "a": np.r_[p[:, 0], r["token"][large].view(np.int64)], "b": np.r_[p[:, 1], r["set"][large].view(np.int64)]})
+        sets = np.flatnonzero(table.column("set").is_valid().to_numpy())
+        names = table.column("set").take(pa.array(sets)).to_numpy()
+        sets = sets[np.unique(names, return_index=True)[1]]
+        own = table.select(["set", "n", "point"]).take(pa.array(sets))
+        m, k = len(p) + int(large.sum()), len(sets)
+        a = np.r_[p[:, 0], r["token"][large].view(np.int64), own.column("set").to_numpy()]
+        b = np.r_[p[:, 1], r["set"][large].view(np.int64), own.column("n").to_numpy()]
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(p), m - len(p), k])
+        return pa.table({"kind": kind, "a": a, "b": b, "point": pa.concat_arrays([pa.nulls(m, pa.binary()), *own.column("point").chunks])})
 
-    dealt = docs.mapInArrow(out, "bucket int, blob binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
+    dealt = docs.mapInArrow(out, "bucket int, blob binary, set long, n long, point binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, point binary")
 
 
-def wanted_sets(docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(set, n, point, members) of the named sets, from the document that stands for each."""
+def wanted_sets(docs: DataFrame, stands: DataFrame, k: int) -> DataFrame:
+    """(set, members) of the sets in `stands` (set, doc_id), from the document that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            wanted, i = b.column("set").to_numpy(), 0
             for t in chunks(b):
                 s = shingle_sets(t, k)
-                yield pa.record_batch({
-                    "set": pa.array(np.array([set_id(x) for x in s], np.uint64).view(np.int64)), "n": pa.array([len(x) for x in s], pa.int64()),
-                    "point": pa.array([point(x).astype(np.uint32).tobytes() for x in s], pa.binary()), "members": pa.array([x.tobytes() for x in s], pa.binary()),
-                })
+                right = [j for j in range(len(t)) if np.uint64(set_id(s[j])).view(np.int64) == wanted[i + j]]  # a repeated doc_id has other texts
+                i += len(t)
+                yield pa.record_batch({"set": wanted[i - len(t) : i][right], "members": pa.array([s[j].tobytes() for j in right], pa.binary())})
 
-    return docs.join(sets.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "set long, n long, point binary, members binary").dropDuplicates(["set"])
+    return docs.join(stands, "doc_id").select("doc_id", "text", "set").mapInArrow(run, "set long, members binary")
 
 
-def linked(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked: bounded by their points, then verified by their members."""
-    side = lambda c, *cols: known.select(F.col("set").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points leave room for a link."""
+    side = lambda c: points.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             least, keep = needed(n, m, percent), np.zeros(len(n), bool)
             for i, (x, y) in enumerate(zip(batch.column("point_a"), batch.column("point_b"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                p, q = counts_of(x, n[i]), counts_of(y, m[i])
                 g = min(len(p), len(q))
                 keep[i] = np.minimum(fold(p, g), fold(q, g)).sum() >= least[i]
             yield pa.record_batch({"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep]})
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose members make them linked."""
+    side = lambda c: known.select(F.col("set").alias(c), F.col("members").alias(f"members_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("members_a"), batch.column("members_b"), strict=True)):
@@ -241,9 +274,7 @@ def linked(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * both >= percent * (len(s) + len(q) - both)
             yield pa.record_batch({"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep]})
 
-    sized = pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b")
-    left = sized.mapInArrow(bound, "a long, b long")
-    return left.join(side("a", "members"), "a").join(side("b", "members"), "b").mapInArrow(verify, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def search_groups(members: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +286,7 @@ def search_groups(members: DataFrame, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         label, n, own = (table.column(c).to_numpy() for c in ("label", "n", "own"))
-        sets, points = table.column("set").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("point")]
+        sets, points = table.column("set").to_numpy(), [counts_of(x, m) for x, m in zip(table.column("point"), n, strict=True)]
         found = []
         for g in sorted({len(p) for p in points}):  # a query meets points of as many groups or more, folded
             here = np.array([i for i, p in enumerate(points) if len(p) >= g])
@@ -284,17 +315,20 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     at = scratch_path(spark, "groups")
     groups(docs, k, percent, frequent(surveyed)).write.parquet(at)
     met = spark.read.parquet(at)
-    pairs = met.filter("kind = 0").select("a", "b").distinct()
     large = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set"))
-    named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(large.select("set")).distinct()
-    kept = scratch_path(spark, "members")
-    wanted_sets(docs, stands.join(named, "set"), k).write.parquet(kept)
-    known = spark.read.parquet(kept)
+    points = met.filter("kind = 2").select(F.col("a").alias("set"), F.col("b").alias("n"), "point")
     # members of large groups are tied to the group's pivots: its ends by name, so that a group of copies contracts
     ends = large.groupBy("group").agg(F.min("set").alias("p"), F.max("set").alias("q"))
     tied = large.join(ends, "group")
     stars = tied.select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b")).union(tied.select(F.least("set", "q").alias("a"), F.greatest("set", "q").alias("b")))
-    first = cut_lineage(linked(pairs.union(stars).filter("a <> b").distinct(), known, percent))
+    pairs = met.filter("kind = 0").select("a", "b").union(stars).filter("a <> b").distinct()
+    pairs = cut_lineage(bounded(pairs, points, percent))
+    # the bound leaves few sets; their members are read from the texts once, with those of large groups for what follows
+    named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(large.select("set")).distinct()
+    kept = scratch_path(spark, "members")
+    wanted_sets(docs, stands.join(named, "set"), k).write.parquet(kept)
+    known = spark.read.parquet(kept)
+    first = cut_lineage(verified(pairs, known, percent))
     label = cut_lineage(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     now = large.join(label.withColumnRenamed("node", "set"), "set", "left").select("group", "set", F.coalesce("component", "set").alias("label"))
     # groups of one component are done; the others are cut into tiles of hashed members, less their largest component's own pairs
@@ -303,8 +337,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     todo = now.join(mixed, "group").withColumn("tiles", F.ceil(F.col("c") / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
     asks = todo.filter("label <> bulk").select("group", "set", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.lit(True).alias("own"))
     holds = todo.select("group", "set", "label", "t", F.lit(False).alias("own"))
-    parts = asks.union(holds).join(known.select("set", "n", "point"), "set").withColumn("part", F.xxhash64("group", "t"))
-    more = linked(search_groups(parts.drop("t"), percent), known, percent)
+    parts = asks.union(holds).join(points, "set").withColumn("part", F.xxhash64("group", "t"))
+    more = verified(search_groups(parts.drop("t"), percent), known, percent)
     edges = cut_lineage(first.union(more))
     # components of sets, then the smallest document of each
     ends = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "set")
