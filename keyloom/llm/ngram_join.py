@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, undeal
-from keyloom.llm.components import components
+from keyloom.llm.components import components, forest
 from keyloom.llm.text import chunks, identified, mix, shingle_sets
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
 
@@ -277,30 +277,37 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def search_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within large groups that the trees leave.
+def search_groups(parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within large groups, as forests.
 
-    `members` has (part, group, set, label, n, point, own): part cuts large groups into tiles, and `own` marks
-    the rows that search the tile's others.
+    `parts` has (part, set, label, members, own): part cuts large groups into tiles, and `own` marks the rows that search the tile.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        label, n, own = (table.column(c).to_numpy() for c in ("label", "n", "own"))
-        sets, points = table.column("set").to_numpy(), [counts_of(x, m) for x, m in zip(table.column("point"), n, strict=True)]
-        found = []
+        names, label, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("set", "label", "own"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+        n, points = np.array([len(s) for s in sets]), [point(s) for s in sets]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for g in sorted({len(p) for p in points}):  # a query meets points of as many groups or more, folded
             here = np.array([i for i, p in enumerate(points) if len(p) >= g])
-            tree = CountTree(np.stack([fold(points[i], g) for i in here]), n[here])
+            tree = CountTree(np.stack([fold(points[i].astype(np.int64), g) for i in here]), n[here])
             for i in np.flatnonzero(own):
-                if len(points[i]) in (g, 2 * g):
-                    hit = here[tree.search(fold(points[i], g), int(n[i]), percent)]
-                    hit = hit[label[hit] != label[i]]
-                    found.append(np.stack([np.full(len(hit), sets[i]), sets[hit]], axis=1))
-        p = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        p = np.unique(np.sort(p, axis=1), axis=0)
-        return pa.table({"a": p[:, 0], "b": p[:, 1]})
-
-    return members.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+                if len(points[i]) not in (g, 2 * g):
+                    continue
+                hit = here[tree.search(fold(points[i].astype(np.int64), g), int(n[i]), percent)]
+                hit = hit[label[hit] != label[i]]
+                if len(hit):
+                    all_of = np.concatenate([sets[j] for j in hit])
+                    at = np.searchsorted(sets[i], all_of)
+                    same = sets[i][np.minimum(at, n[i] - 1)] == all_of
+                    both = np.add.reduceat(same.astype(np.int64), np.r_[0, np.cumsum(n[hit])[:-1]])
+                    ok = hit[100 * both >= percent * (n[i] + n[hit] - both)]
+                    us.append(np.full(len(ok), names[i]))
+                    vs.append(names[ok])
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.table({"a": u, "b": v})
+
+    return parts.groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int = 512) -> DataFrame:
@@ -317,10 +324,13 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     met = spark.read.parquet(at)
     large = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set"))
     points = met.filter("kind = 2").select(F.col("a").alias("set"), F.col("b").alias("n"), "point")
-    # members of large groups are tied to the group's pivots: its ends by name, so that a group of copies contracts
-    ends = large.groupBy("group").agg(F.min("set").alias("p"), F.max("set").alias("q"))
-    tied = large.join(ends, "group")
-    stars = tied.select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b")).union(tied.select(F.least("set", "q").alias("a"), F.greatest("set", "q").alias("b")))
+    # members of large groups are tied to the group's pivots: those in most large groups, as the source of copies is, with which the
+    # others agree better than with each other
+    often = large.groupBy("set").agg(F.count(F.lit(1)).alias("often"))
+    ranked = large.join(often, "set")
+    best = ranked.groupBy("group").agg(F.max(F.struct("often", "set")).alias("p"), F.min(F.struct("often", "set")).alias("q"))
+    tied = large.join(best.select("group", F.explode(F.array("p.set", "q.set")).alias("p")), "group")
+    stars = tied.select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b"))
     pairs = met.filter("kind = 0").select("a", "b").union(stars).filter("a <> b").distinct()
     pairs = cut_lineage(bounded(pairs, points, percent))
     # the bound leaves few sets; their members are read from the texts once, with those of large groups for what follows
@@ -331,14 +341,18 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     first = cut_lineage(verified(pairs, known, percent))
     label = cut_lineage(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     now = large.join(label.withColumnRenamed("node", "set"), "set", "left").select("group", "set", F.coalesce("component", "set").alias("label"))
-    # groups of one component are done; the others are cut into tiles of hashed members, less their largest component's own pairs
-    by = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = by.groupBy("group").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.max_by("label", "c").alias("bulk")).filter("labels > 1")
-    todo = now.join(mixed, "group").withColumn("tiles", F.ceil(F.col("c") / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
-    asks = todo.filter("label <> bulk").select("group", "set", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.lit(True).alias("own"))
-    holds = todo.select("group", "set", "label", "t", F.lit(False).alias("own"))
-    parts = asks.union(holds).join(points, "set").withColumn("part", F.xxhash64("group", "t"))
-    more = verified(search_groups(parts.drop("t"), percent), known, percent)
+    # groups of one component are done; the others, those of one pivot together, are cut into tiles of hashed members, and every member
+    # but those of the largest component searches all tiles
+    now = now.join(best.select("group", F.col("p.set").alias("pivot")), "group").select("pivot", "set", "label", F.col("group"))
+    by = now.groupBy("group", "pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("group")
+    now = now.join(by, "group").select("pivot", "set", "label").distinct()
+    by = now.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by.groupBy("pivot").agg(F.sum("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("bulk"))
+    todo = now.join(mixed, "pivot").withColumn("tiles", F.ceil(F.col("c") / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
+    asks = todo.filter("label <> bulk").select("pivot", "set", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.lit(True).alias("own"))
+    holds = todo.select("pivot", "set", "label", "t", F.lit(False).alias("own"))
+    parts = asks.union(holds).join(known, "set").withColumn("part", F.xxhash64("pivot", "t")).select("part", "set", "label", "members", "own")
+    more = search_groups(parts, percent)
     edges = cut_lineage(first.union(more))
     # components of sets, then the smallest document of each
     ends = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "set")
