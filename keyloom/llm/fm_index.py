@@ -69,22 +69,18 @@ class FmIndex:
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, window: int):
         sizes = np.diff(np.r_[0, ends])
-        n, f = len(text) + len(ends), len(ends)
+        n = len(text) + len(ends)
         self.at = np.r_[0, np.cumsum(sizes + 1)]
         full = np.zeros(n, np.int64)
         own = np.ones(n, bool)
         own[self.at[1:] - 1] = False
         full[own] = text
-        ordered = np.where(own, full + f, 0)
-        ordered[~own] = np.arange(f)
-        ranks, short = suffix_ranks(np.unique(ordered, return_inverse=True)[1].reshape(-1), int(sizes.max(initial=0)) + 1, window)
-        self.sa = np.empty(n, np.int64)
-        self.sa[ranks] = np.arange(n)
+        self.sa, short = suffix_ranks(full, int(sizes.max(initial=0)) + 1, window)
         bwt = full[self.sa - 1]
         self.tree = WaveletTree(bwt)
         counts = np.bincount(full)
         self.below = np.r_[0, np.cumsum(counts)]
-        deep = short[self.sa] if short is not None else np.arange(n)
+        deep = short[self.sa]
         self.starts = np.flatnonzero(np.r_[True, deep[1:] != deep[:-1]])
         self.group = np.cumsum(np.r_[False, deep[1:] != deep[:-1]])
         self.full, self.size = full, n

@@ -5,7 +5,8 @@ documents through all shards would grow with the square of the corpus, so shards
 least-hashed gram in it, equal windows have equal leaders, and consecutive windows with one leader form a fragment. Fragments go to
 the shard of their leader, so every repeat of a window meets in one shard.
 
-1. Leaders are dealt by hash. One that is seen only once leads no repeat, so most text leaves here.
+1. Leaders are dealt by hash, each with hashes of the half windows that end and start with it: two fragments share a window only
+   if they agree on one of these. A fragment whose halves are seen only once holds no repeat, so most text leaves here.
 2. The fragments of the others are cut from the texts. Equal fragments collapse to their first occurrence before the shuffle.
 3. Each shard builds its index over the distinct fragments and streams them through it; for each window the index gives the interval
    of its occurrences, and the earliest of them is its first occurrence.
@@ -28,7 +29,7 @@ from keyloom.llm.blobs import bucket_count, deal, group_starts, undeal
 from keyloom.llm.text import Texts, chunks, mix
 from keyloom.sources.tables import scratch_path
 
-LEAD = np.dtype([("lead", np.uint64), ("doc", np.int64), ("start", np.uint32), ("n", np.uint8), ("known", np.uint8)])
+LEAD = np.dtype([("lead", np.uint64), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("start", np.uint32), ("n", np.uint8), ("known", np.uint8)])
 FLUSH = 600_000
 FAR = np.iinfo(np.int64).max
 
@@ -62,12 +63,12 @@ def least_of(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[:n], key[width - step : width - step + n]) if step < width else key[:n]
 
 
-def leaders(s: Symbols, size: int, gram: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(leader, document, first window, windows, twice) of each fragment; with `inner`, `twice` tells that a window of it holds its
+def leaders(s: Symbols, size: int, gram: int, inner: bool = False) -> tuple[np.ndarray, ...]:
+    """(leader, document, first window, windows, twice, left half, right half) of each fragment; with `inner`, `twice` tells that a window of it holds its
     leader more than once, as it must where a window is repeated within the fragment."""
     width = size - gram + 1
     if len(s.grams) < width:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool), *[np.zeros(0, np.uint16)] * 2
     low = np.uint64(127)
     place = np.arange(len(s.grams), dtype=np.uint64) & low
     high = s.grams & ~low
@@ -82,7 +83,35 @@ def leaders(s: Symbols, size: int, gram: int, inner: bool = False) -> tuple[np.n
     if inner and len(cut):
         other = least_of(high | (low - place), width)[at]
         twice = np.logical_or.reduceat(((other ^ lead) & low) != low, cut)
-    return lead[cut] & ~low, doc[cut], at[cut] - s.first[:-1][doc[cut]], np.diff(np.r_[cut, len(at)]), twice
+    half, spot = (size - gram) // 2, place_of[cut]
+    sides = [halves(s, spot, np.arange(-half, 0, gram), s.first[:-1][doc[cut]], s.first[1:][doc[cut]], gram), halves(s, spot, half - np.arange(0, half, gram), s.first[:-1][doc[cut]], s.first[1:][doc[cut]], gram)]
+    return lead[cut] & ~low, doc[cut], at[cut] - s.first[:-1][doc[cut]], np.diff(np.r_[cut, len(at)]), twice, *sides
+
+
+def halves(s: Symbols, spot: np.ndarray, offsets: np.ndarray, first: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
+    """A 16-bit hash, over 0, of the grams at these offsets from a leader, which cover the half window beside it; 0 beyond the document."""
+    fine = (spot + offsets.min() >= first) & (spot + offsets.max() + gram <= end)
+    out = np.zeros(len(spot), np.uint64)
+    for o in offsets:
+        out = mix(out ^ s.grams[np.clip(spot + o, 0, len(s.grams) - 1)])
+    return np.where(fine, out % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+
+def shared_halves(r: np.ndarray, same_document: bool) -> np.ndarray:
+    """Of `LEAD` records, which agree with another on leader and half window, in another document unless `same_document`."""
+    out = np.zeros(len(r), bool)
+    for side in ("left", "right"):
+        use = np.flatnonzero(r[side])
+        use = use[np.lexsort((r[side][use], r["lead"][use]))]
+        if not len(use):
+            continue
+        lead, half, doc = r["lead"][use], r[side][use], r["doc"][use]
+        at = np.r_[np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (half[1:] != half[:-1])]), len(use)]
+        first, size = at[:-1], np.diff(at)
+        many = size > 1 if same_document else np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        many |= (np.maximum.reduceat(r["known"][use], first) > 0) & (size > 1)
+        out[use] |= np.repeat(many, size)
+    return out
 
 
 def shared_leads(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -91,17 +120,13 @@ def shared_leads(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def pack(held: list) -> pa.RecordBatch:
         r = np.concatenate(held)
-        r = r[np.argsort(r["lead"], kind="stable")]
-        at = group_starts(r["lead"])
-        first, size = at[:-1], np.diff(at)
-        many = size > 1 if rule.same_document else np.minimum.reduceat(r["doc"], first) != np.maximum.reduceat(r["doc"], first)
-        many |= np.maximum.reduceat(r["known"], first) > 0
-        r["known"] = np.repeat(many, size)
-        # of a leader that this batch shows to be shared, one record tells the others; its fragments need no telling
-        told = r[np.repeat(~many, size)]
-        tell = r[first[many]]
+        r["known"] |= shared_halves(r, rule.same_document)
+        # of fragments that this batch shows to be shared, one for each leader and halves tells the others; the rest need no telling
         kept = r[r["known"] == 1]
-        out = np.concatenate([told, tell])
+        tell = kept[np.lexsort((kept["right"], kept["left"], kept["lead"]))]
+        if len(tell):
+            tell = tell[np.r_[True, (tell["lead"][1:] != tell["lead"][:-1]) | (tell["left"][1:] != tell["left"][:-1]) | (tell["right"][1:] != tell["right"][:-1])]]
+        out = np.concatenate([r[r["known"] == 0], tell])
         a, b = deal(out, mix(out["lead"]), buckets), deal(kept, mix(kept["doc"].view(np.uint64)), buckets)
         none = lambda x: pa.nulls(x.num_rows, pa.binary())
         return pa.record_batch({"bucket": pa.concat_arrays([a.column(0), b.column(0)]), "blob": pa.concat_arrays([a.column(1), none(b)]), "kept": pa.concat_arrays([none(a), b.column(1)])})
@@ -110,10 +135,10 @@ def shared_leads(docs: DataFrame, rule: Rule) -> DataFrame:
         held, size = [], 0
         for b in batches:
             for t in chunks(b):
-                lead, doc, start, n, twice = leaders(rule.read(t), rule.size, rule.gram, rule.same_document)
+                lead, doc, start, n, twice, left, right = leaders(rule.read(t), rule.size, rule.gram, rule.same_document)
                 r = np.zeros(len(lead), LEAD)
                 r["lead"], r["doc"], r["start"], r["n"] = lead, t.ids[doc], start, n
-                r["known"] = twice
+                r["known"], r["left"], r["right"] = twice, left, right
                 if len(r):
                     held.append(r)
                 size += len(r)
@@ -125,13 +150,7 @@ def shared_leads(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         r = undeal(table.column("blob").drop_null(), LEAD)
-        r = r[np.argsort(r["lead"], kind="stable")]
-        keep = np.zeros(len(r), bool)
-        if len(r):
-            at = group_starts(r["lead"])
-            first, size = at[:-1], np.diff(at)
-            many = size > 1 if rule.same_document else np.minimum.reduceat(r["doc"], first) != np.maximum.reduceat(r["doc"], first)
-            keep = np.repeat(many | (np.maximum.reduceat(r["known"], first) > 0), size) & (r["known"] == 0)
+        keep = shared_halves(r, rule.same_document) & (r["known"] == 0)
         r = np.concatenate([r[keep], undeal(table.column("kept").drop_null(), LEAD)])
         return pa.table({"doc_id": r["doc"], "lead": r["lead"].view(np.int64), "start": r["start"].astype(np.int64), "n": r["n"].astype(np.int32)})
 
@@ -250,25 +269,43 @@ def cover_mask(cover: pa.Scalar, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def suffix_ranks(first: np.ndarray, longest: int, upto: int, packed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of all suffixes by prefix doubling, and ranks by their first `upto` symbols.
+def suffix_ranks(full: np.ndarray, longest: int, upto: int, packed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes, and ranks by their first `upto` symbols, by prefix doubling.
 
-    `first` ranks each place by its first `packed` symbols; suffixes differ within `longest` symbols.
+    `full` has sequences of symbols over 0, each ended by 0, where comparison stops; equal suffixes stand in the order of their
+    sequences, which is as if each sequence ended with a sign of its own. `packed`: symbols fit a byte, and eight are compared at once.
     """
-    rank, depth, short = first, packed, None
-    n = len(first)
-
-    def pair(r: np.ndarray, by: int) -> np.ndarray:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - by] = r[by:] + 1
-        return np.unique(r * (n + 1) + nxt, return_inverse=True)[1].reshape(-1)
-
+    n = len(full)
+    left = np.flatnonzero(full == 0)[np.cumsum(full == 0) - (full == 0)] - np.arange(n)  # symbols before the end
+
+    def pair(r: np.ndarray, by: int, bits: int = 0) -> np.ndarray:
+        nxt = np.zeros(n, r.dtype)
+        nxt[: n - by] = np.where(left[: n - by] >= by, r[by:] + (0 if bits else 1), 0)
+        return r << bits | nxt if bits else dense(r * (n + 1) + nxt)
+
+    def dense(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        key = key[order]
+        out = np.empty(n, np.int64)
+        out[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        return out
+
+    depth, short = 1, None
+    if packed:
+        key = full.astype(np.uint64)
+        for bits in (8, 16, 32):
+            key = pair(key, depth, np.uint64(bits))
+            depth *= 2
+        rank = dense(key)
+    else:
+        rank = dense(full)
     while depth < longest:
         if short is None and 2 * depth >= upto:
             short = rank if depth == upto else pair(rank, upto - depth)
-        rank = pair(rank, depth)
-        depth *= 2
-    return rank, short
+        step = min(depth, longest - depth)
+        rank = pair(rank, step)
+        depth += step
+    return np.argsort(rank, kind="stable"), rank if short is None else short
 
 
 def earliest(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

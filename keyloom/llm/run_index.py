@@ -33,17 +33,13 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, window: int):
         sizes = np.diff(np.r_[0, ends])
-        n, f = len(text) + len(ends), len(ends)
+        n = len(text) + len(ends)
         self.at = np.r_[0, np.cumsum(sizes + 1)]
         full = np.zeros(n, np.int64)
         own = np.ones(n, bool)
         own[self.at[1:] - 1] = False
         full[own] = text.astype(np.int64) + 1
-        ordered = np.where(own, full + f, 0)
-        ordered[~own] = np.arange(f)
-        ranks, short = suffix_ranks(ordered, int(sizes.max(initial=0)) + 1, window)
-        sa = np.empty(n, np.int64)
-        sa[ranks] = np.arange(n)
+        sa, short = suffix_ranks(full, int(sizes.max(initial=0)) + 1, window, packed=True)
         bwt = full[sa - 1]
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         length = np.diff(np.r_[head, n])
@@ -56,7 +52,7 @@ class RunIndex:
         padded = np.r_[total, n]
         self.run_before = total - padded[base[self.run_symbol]]
         self.below = np.r_[0, np.cumsum(np.bincount(full, minlength=258))]
-        deep = short[sa] if short is not None else np.arange(n)
+        deep = short[sa]
         self.starts = np.flatnonzero(np.r_[True, deep[1:] != deep[:-1]])
         self.group = np.cumsum(np.r_[False, deep[1:] != deep[:-1]])
         self.full, self.size = full, n
