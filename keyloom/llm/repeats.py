@@ -17,12 +17,13 @@ A leader that very many documents share is sent once a batch, and occurrences of
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.blobs import bucket_count, deal, group_starts, undeal
@@ -250,14 +251,22 @@ def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents with `cover`: spans (start, end) of symbols to remove, unsorted and overlapping, null if none."""
     spark = docs.sparkSession
     leads, cuts = scratch_path(spark, "leads"), scratch_path(spark, "fragments")
-    shared_leads(docs, rule).write.parquet(leads)
-    fragments(docs, spark.read.parquet(leads), rule).write.parquet(cuts)
+    shared_leads(docs, rule).write.option("compression", "zstd").parquet(leads)
+    release(spark)
+    fragments(docs, spark.read.parquet(leads), rule).write.option("compression", "zstd").parquet(cuts)
+    release(spark)
     cut = spark.read.parquet(cuts)
     spans = covered(cut, first_occurrences(cut, rule, bucket_count(docs)), rule)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "cover")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: its cleaner waits for the driver to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cover_mask(cover: pa.Scalar, n: int) -> np.ndarray:
     """Which of n symbols the spans cover."""
     if not cover.is_valid:
