@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm.repeats import FAR, Rule, Symbols, cover_mask, earliest, marked, suffix_ranks
+from keyloom.llm.repeats import FAR, Rule, Symbols, cover_mask, earliest, marked, suffix_order
 from keyloom.llm.text import Texts, buffers, chunks, hash_runs, hash_words, identified, words
 from keyloom.sources.tables import read_table
 
@@ -75,41 +75,40 @@ class FmIndex:
         own = np.ones(n, bool)
         own[self.at[1:] - 1] = False
         full[own] = text
-        self.sa, short = suffix_ranks(full, int(sizes.max(initial=0)) + 1, window)
+        self.sa, differs = suffix_order(full, int(sizes.max(initial=0)) + 1, window)
         bwt = full[self.sa - 1]
         self.tree = WaveletTree(bwt)
         counts = np.bincount(full)
         self.below = np.r_[0, np.cumsum(counts)]
-        deep = short[self.sa]
-        self.starts = np.flatnonzero(np.r_[True, deep[1:] != deep[:-1]])
-        self.group = np.cumsum(np.r_[False, deep[1:] != deep[:-1]])
+        self.starts = np.flatnonzero(differs)
+        self.group = np.cumsum(differs) - 1
         self.full, self.size = full, n
 
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = self.below[symbol]
-        return c + self.tree.rank(symbol, low), c + self.tree.rank(symbol, high)
+    def extend(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The first suffix of those that start with `symbol` and go on as the suffixes from `low`."""
+        return self.below[symbol] + self.tree.rank(symbol, low)
 
 
 def stream(index, window: int) -> np.ndarray:
     """Streams the sequences backward through an index; for each place of the index's text that starts a window, the number of the
-    interval of its occurrences, -1 elsewhere. An interval is the suffixes that agree on the window."""
+    interval of its occurrences, -1 elsewhere. An interval is the suffixes that agree on the window.
+
+    Backward search keeps the lower end of the interval; the marks give the upper end at a window's depth, and cut back to it.
+    """
     sizes = np.diff(index.at) - 1
     order = np.argsort(-sizes, kind="stable")
     long, end = sizes[order], (index.at[1:] - 2)[order]
-    low, high = np.zeros(len(long), np.int64), np.full(len(long), index.size, np.int64)
+    low = np.zeros(len(long), np.int64)
     found = np.full(index.size, -1, np.int64)
-    limits = np.r_[index.starts, index.size]
     for t in range(int(long[0]) if len(long) else 0):
         k = int(np.searchsorted(-long, -t, "left"))
         place = end[:k] - t
-        lo, hi = index.extend(index.full[place], low[:k], high[:k])
+        lo = index.extend(index.full[place], low[:k])
         if t + 1 >= window:
             g = index.group[lo]
-            if (hi <= lo).any():
-                raise ValueError("a sequence is not in its index")
             found[place] = g
-            lo, hi = limits[g], limits[g + 1]
-        low[:k], high[:k] = lo, hi
+            lo = index.starts[g]
+        low[:k] = lo
     return found
 
 

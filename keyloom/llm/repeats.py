@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,66 +160,93 @@ def shared_leads(docs: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, lead long, start long, n int")
 
 
-PART = np.dtype([("lead", np.int64), ("start", np.int64), ("n", np.int32)])
+PIECE = np.dtype([("name", np.int64), ("doc", np.int64), ("start", np.int64), ("n", np.int32), ("size", np.int32)])
 
 
-def fragments(docs: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (kind 0, lead, content, doc, start, n) of distinct fragments with a first occurrence in their batch, and
-    (kind 1, name, doc, start, n) of all occurrences; `name` is a hash of leader and content."""
+def packed(rows: list[tuple], shards: int) -> tuple[list[int], list[bytes], list[int]]:
+    """Distinct fragments (lead, content, name, doc, start, n) as a compressed blob for each shard: shards, blobs, sizes."""
+    to = np.array([r[0] for r in rows], np.int64).view(np.uint64) if rows else np.zeros(0, np.uint64)
+    to = (mix(to) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    at = group_starts(to[order])
+    where, blobs, sizes = [], [], []
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        own = [rows[x] for x in order[i:j]]
+        head = np.array([(r[2], r[3], r[4], r[5], len(r[1])) for r in own], PIECE).tobytes()
+        raw = np.int64(len(own)).tobytes() + head + b"".join(r[1] for r in own)
+        where.append(int(to[order[i]]))
+        blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
+        sizes.append(len(raw))
+    return where, blobs, sizes
+
+
+def unpacked(blobs, sizes) -> tuple[np.ndarray, pa.Array]:
+    """The pieces and contents of all blobs of a shard."""
+    heads, bodies = [np.zeros(0, PIECE)], []
+    for b, n in zip(blobs, sizes, strict=True):
+        raw = pa.decompress(b.as_buffer(), decompressed_size=n.as_py(), codec="zstd", asbytes=True)
+        m = int(np.frombuffer(raw, np.int64, 1)[0])
+        heads.append(np.frombuffer(raw, PIECE, m, 8))
+        bodies.append(raw[8 + m * PIECE.itemsize :])
+    head = np.concatenate(heads)
+    offsets = np.concatenate([[0], np.cumsum(head["size"].astype(np.int64))])
+    return head, pa.Array.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(bodies))])
+
+
+def fragments(docs: DataFrame, shared: DataFrame, rule: Rule, shards: int) -> DataFrame:
+    """Rows (shard, size, blob) of distinct fragments with their first occurrence in the batch, and rows (name, doc_id, start) of all
+    occurrences; `name` is a hash of leader and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, i = b.column("parts"), 0
+            seen: dict = {}
+            names, docs_of, starts = [], [], []
             for t in chunks(b):
                 s = rule.read(t)
-                seen: dict = {}
-                rows = []
                 for j in range(len(t)):
-                    for p in zip(*(parts[i + j].values.field(f).to_numpy().tolist() for f in ("lead", "start", "n")), strict=True):
-                        lead, start, n = p
+                    v, doc = parts[i + j].values, int(t.ids[j])
+                    for lead, start, n in zip(*(v.field(f).to_numpy().tolist() for f in ("lead", "start", "n")), strict=True):
                         c = s.content(int(s.first[j]) + start, n + rule.size - 1)
-                        here = (int(t.ids[j]), start)
                         old = seen.get((lead, c))
-                        if old is None or here < old[:2]:
-                            seen[lead, c] = (*here, n)
-                        rows.append((lead, c, *here, n))
+                        if old is None:
+                            old = seen[lead, c] = [fragment_name((lead, c)), doc, start, n]
+                        elif (doc, start) < (old[1], old[2]):
+                            old[1], old[2] = doc, start
+                        names.append(old[0])
+                        docs_of.append(doc)
+                        starts.append(start)
                 i += len(t)
-                if not rows:
-                    continue
-                name = {k: fragment_name(k) for k in seen}
-                yield pa.record_batch({
-                    "kind": pa.array([0] * len(seen) + [1] * len(rows), pa.int32()), "lead": pa.array([k[0] for k in seen] + [None] * len(rows), pa.int64()), "content": pa.array([k[1] for k in seen] + [None] * len(rows), pa.binary()),
-                    "name": pa.array([name[k] for k in seen] + [name[r[0], r[1]] for r in rows], pa.int64()), "doc_id": pa.array([v[0] for v in seen.values()] + [r[2] for r in rows], pa.int64()),
-                    "start": pa.array([v[1] for v in seen.values()] + [r[3] for r in rows], pa.int64()), "n": pa.array([v[2] for v in seen.values()] + [r[4] for r in rows], pa.int32()),
-                })
+            where, blobs, sizes = packed([(*k, *v) for k, v in seen.items()], shards)
+            m, k = len(where), len(names)
+            yield pa.record_batch({
+                "shard": pa.array(where + [None] * k, pa.int32()), "size": pa.array(sizes + [None] * k, pa.int64()), "blob": pa.array(blobs + [None] * k, pa.binary()),
+                "name": pa.array([None] * m + names, pa.int64()), "doc_id": pa.array([None] * m + docs_of, pa.int64()), "start": pa.array([None] * m + starts, pa.int64()),
+            })
 
     by_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "start", "n")).alias("parts"))
-    return docs.join(by_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(run, "kind int, lead long, content binary, name long, doc_id long, start long, n int")
+    return docs.join(by_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(run, "shard int, size long, blob binary, name long, doc_id long, start long")
 
 
 def fragment_name(key: tuple[int, bytes]) -> int:
     """A signed 64-bit name of a leader and content."""
-    import xxhash
-
     h = xxhash.xxh3_64_intdigest(key[1], seed=key[0] & (2**64 - 1))
     return h - 2**64 if h >= 2**63 else h
 
 
-def first_occurrences(cut: DataFrame, rule: Rule, shards: int) -> DataFrame:
+def first_occurrences(cut: DataFrame, rule: Rule) -> DataFrame:
     """(name, best_doc, best_start): for each window of a distinct fragment, the first occurrence in the corpus, as packed longs."""
 
     def run(table: pa.Table) -> pa.Table:
-        name, doc, start, n = (table.column(c).to_numpy() for c in ("name", "doc_id", "start", "n"))
-        order = np.lexsort((start, doc, name))
-        order = order[np.r_[True, name[order][1:] != name[order][:-1]]]
-        content = table.column("content").combine_chunks().take(pa.array(order))
-        name, doc, start, n = name[order], doc[order], start[order], n[order].astype(np.int64)
-        best_doc, best_start, at = rule.search(content, doc, start, n, rule.size)
-        blobs = lambda v: pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(len(name))], pa.binary())
-        return pa.table({"name": name, "best_doc": blobs(best_doc), "best_start": blobs(best_start)})
+        head, content = unpacked(table.column("blob"), table.column("size"))
+        order = np.lexsort((head["start"], head["doc"], head["name"]))
+        order = order[np.r_[True, head["name"][order][1:] != head["name"][order][:-1]]]
+        content, head = content.take(pa.array(order)), head[order]
+        best_doc, best_start, at = rule.search(content, head["doc"], head["start"], head["n"].astype(np.int64), rule.size)
+        blobs = lambda v: pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(len(head))], pa.binary())
+        return pa.table({"name": head["name"], "best_doc": blobs(best_doc), "best_start": blobs(best_start)})
 
-    dealt = cut.filter("kind = 0").withColumn("shard", F.pmod(F.xxhash64("lead"), F.lit(shards)))
-    return dealt.select("shard", "content", "name", "doc_id", "start", "n").groupBy("shard").applyInArrow(run, "name long, best_doc binary, best_start binary")
+    return cut.filter("shard is not null").select("shard", "size", "blob").groupBy("shard").applyInArrow(run, "name long, best_doc binary, best_start binary")
 
 
 def covered(cut: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
@@ -244,7 +272,7 @@ def covered(cut: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
                     e.append(start[i] + q - 1 + rule.size)
             yield pa.record_batch({"doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
 
-    return cut.filter("kind = 1").select("name", "doc_id", "start").join(firsts, "name").mapInArrow(run, "doc_id long, start long, end long")
+    return cut.filter("shard is null").select("name", "doc_id", "start").join(firsts, "name").mapInArrow(run, "doc_id long, start long, end long")
 
 
 def marked(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -253,10 +281,10 @@ def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     leads, cuts = scratch_path(spark, "leads"), scratch_path(spark, "fragments")
     shared_leads(docs, rule).write.option("compression", "zstd").parquet(leads)
     release(spark)
-    fragments(docs, spark.read.parquet(leads), rule).write.option("compression", "zstd").parquet(cuts)
+    fragments(docs, spark.read.parquet(leads), rule, bucket_count(docs)).write.option("compression", "zstd").parquet(cuts)
     release(spark)
     cut = spark.read.parquet(cuts)
-    spans = covered(cut, first_occurrences(cut, rule, bucket_count(docs)), rule)
+    spans = covered(cut, first_occurrences(cut, rule), rule)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "cover")
 
@@ -278,43 +306,54 @@ def cover_mask(cover: pa.Scalar, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def suffix_ranks(full: np.ndarray, longest: int, upto: int, packed: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes, and ranks by their first `upto` symbols, by prefix doubling.
+def suffix_order(full: np.ndarray, longest: int, upto: int, packed_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes, and for each place in it whether the suffix differs from the one before in its first `upto` symbols.
 
     `full` has sequences of symbols over 0, each ended by 0, where comparison stops; equal suffixes stand in the order of their
-    sequences, which is as if each sequence ended with a sign of its own. `packed`: symbols fit a byte, and eight are compared at once.
+    sequences, which is as if each sequence ended with a sign of its own. `packed_bytes`: symbols fit a byte, eight are compared at once.
     """
     n = len(full)
-    left = np.flatnonzero(full == 0)[np.cumsum(full == 0) - (full == 0)] - np.arange(n)  # symbols before the end
+    ends = full == 0
+    left = np.flatnonzero(ends)[np.cumsum(ends) - ends] - np.arange(n)  # symbols before the end
+    order = np.arange(n)
 
-    def pair(r: np.ndarray, by: int, bits: int = 0) -> np.ndarray:
+    def beside(r: np.ndarray, by: int, plus: int) -> np.ndarray:
         nxt = np.zeros(n, r.dtype)
-        nxt[: n - by] = np.where(left[: n - by] >= by, r[by:] + (0 if bits else 1), 0)
-        return r << bits | nxt if bits else dense(r * (n + 1) + nxt)
+        nxt[: n - by] = np.where(left[: n - by] >= by, r[by:] + r.dtype.type(plus), 0)
+        return nxt
 
-    def dense(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
+    def dense(key: np.ndarray, last: bool) -> np.ndarray:
+        nonlocal order
+        order = np.argsort(key, kind="stable" if last else None)
         key = key[order]
         out = np.empty(n, np.int64)
         out[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
         return out
 
-    depth, short = 1, None
-    if packed:
+    depth, half, reach = 1, None, 0
+    if packed_bytes:
         key = full.astype(np.uint64)
         for bits in (8, 16, 32):
-            key = pair(key, depth, np.uint64(bits))
+            key = (key << np.uint64(bits)) | beside(key, depth, 0)
             depth *= 2
-        rank = dense(key)
     else:
-        rank = dense(full)
+        key = full
+    rank = dense(key, depth >= longest)
+    if depth >= upto or depth >= longest:
+        half, reach = rank, 0
     while depth < longest:
-        if short is None and 2 * depth >= upto:
-            short = rank if depth == upto else pair(rank, upto - depth)
+        if half is None and 2 * depth >= upto:
+            half, reach = rank, upto - depth
         step = min(depth, longest - depth)
-        rank = pair(rank, step)
+        rank = dense(rank * (n + 1) + beside(rank, step, 1), depth + step >= longest)
         depth += step
-    return np.argsort(rank, kind="stable"), rank if short is None else short
+    if half is None:
+        half = rank
+    differs = np.r_[True, half[order][1:] != half[order][:-1]]
+    if reach:
+        far = beside(half, reach, 1)[order]
+        differs[1:] |= far[1:] != far[:-1]
+    return order, differs
 
 
 def earliest(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

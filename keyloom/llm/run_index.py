@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.fm_index import first_by_interval
-from keyloom.llm.repeats import Rule, Symbols, cover_mask, marked, suffix_ranks
+from keyloom.llm.repeats import Rule, Symbols, cover_mask, marked, suffix_order
 from keyloom.llm.text import _BYTE, Texts, buffers, chunks, identified, mix
 from keyloom.sources.tables import read_table
 
@@ -39,7 +39,7 @@ class RunIndex:
         own = np.ones(n, bool)
         own[self.at[1:] - 1] = False
         full[own] = text.astype(np.int64) + 1
-        sa, short = suffix_ranks(full, int(sizes.max(initial=0)) + 1, window, packed=True)
+        sa, differs = suffix_order(full, int(sizes.max(initial=0)) + 1, window, packed_bytes=True)
         bwt = full[sa - 1]
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         length = np.diff(np.r_[head, n])
@@ -52,9 +52,8 @@ class RunIndex:
         padded = np.r_[total, n]
         self.run_before = total - padded[base[self.run_symbol]]
         self.below = np.r_[0, np.cumsum(np.bincount(full, minlength=258))]
-        deep = short[sa]
-        self.starts = np.flatnonzero(np.r_[True, deep[1:] != deep[:-1]])
-        self.group = np.cumsum(np.r_[False, deep[1:] != deep[:-1]])
+        self.starts = np.flatnonzero(differs)
+        self.group = np.cumsum(differs) - 1
         self.full, self.size = full, n
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -63,9 +62,9 @@ class RunIndex:
         ok = (r >= 0) & (self.run_symbol[r] == symbol)
         return np.where(ok, self.run_before[r] + np.minimum(i - self.run_start[r], self.run_length[r]), 0)
 
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = self.below[symbol]
-        return c + self.rank(symbol, low), c + self.rank(symbol, high)
+    def extend(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The first suffix of those that start with `symbol` and go on as the suffixes from `low`."""
+        return self.below[symbol] + self.rank(symbol, low)
 
 
 def read_bytes(t: Texts) -> Symbols:
