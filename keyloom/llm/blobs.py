@@ -36,7 +36,7 @@ def deal(records: np.ndarray, h: np.ndarray, buckets: int, extra: dict | None =
     order = np.argsort(to, kind="stable")
     to, records = to[order], records[order]
     at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-    ends = np.r_[at[1:], len(to)]
+    ends = np.r_[at[1:], len(to)] if len(to) else at
     # columns of a record lie one after the other, which compresses better than records do
     blobs = [b"".join(records[f][i:j].tobytes() for f in records.dtype.names) for i, j in zip(at, ends, strict=True)]
     return pa.record_batch({"bucket": pa.array(to[at], pa.int32()), "blob": pa.array(blobs, pa.binary())})

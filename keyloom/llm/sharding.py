@@ -19,7 +19,8 @@ from keyloom.llm.ranks import row_ranks, running_sum
 from keyloom.sources.tables import cut_lineage, read_table
 
 SHARDS = 8
-ROUNDS = 3
+ROUNDS = 5
+TOGETHER = 64
 
 
 def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
@@ -32,7 +33,11 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
         best = now.groupBy("key").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("best"), F.count(F.lit(1)).alias("spread")).filter("spread > 1")
         asks = plan.join(best, "key").filter(F.col("to") != F.col("best")).withColumn("spread_by", F.xxhash64("key", "from", "to"))
         summed = running_sum(asks, ["best"], "spread_by", ["key", "from", "to"], F.col("move"), max(keys, 1), "before")
-        room = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, quota - full.get(s, 0)))]), F.col("best"))
+        # half of those who ask to leave a shard make room in it; what this overfills, the end sets right
+        leaving = {r[0]: r[1] for r in asks.groupBy("to").agg(F.sum("move")).collect()}
+        if not leaving:
+            break
+        room = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, quota - full.get(s, 0) + leaving.get(s, 0) // 2))]), F.col("best"))
         goes = F.greatest(F.lit(0), F.least(F.col("move"), room - F.col("before")))
         moved = summed.select("key", "from", "to", "best", goes.alias("goes")).filter("goes > 0")
         less = moved.select("key", "from", "to", (-F.col("goes")).alias("move"))
@@ -49,17 +54,19 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     d = cut_lineage(d.withColumn("h", F.xxhash64(F.lit("shard"), "doc_id")).withColumn("from", F.pmod("h", F.lit(shards)).cast("int")))
     rows = d.count()
     groups = d.filter("key is not null").groupBy("key", F.col("from").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    several = groups.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key")
-    linked = cut_lineage(groups.join(several, "key"))
+    several = groups.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1")
+    linked = cut_lineage(groups.join(several, "key").drop("all"))
     plan = propagate(linked, shards, rows // shards)
     # of a key's rows in a shard, ranks 0.. go to the shards of the plan in turn: the ranges of each move
     ranges = running_sum(plan.withColumn("s", F.col("to").cast("long")), ["key", "from"], "s", [], F.col("move"), 1, "first")
-    sure = d.join(linked.select("key").distinct(), "key")
+    sure = d.join(several, "key")
     ranked = row_ranks(sure, ["key", "from"], "h", ["doc_id", "size"], rows, "r")
     to = ranked.join(ranges.select("key", "from", "to", "first", "move"), ["key", "from"]).filter("r >= first and r < first + move")
-    to = to.select("doc_id", "size", "text_crc32", "h", F.col("to").alias("shard"))
+    # small groups stand first and together, so that what is beyond a shard's quota is of large groups, which quotas split anyway
+    first = F.when(F.col("all") <= TOGETHER, -F.shiftrightunsigned(F.xxhash64("key"), 1) - 1).otherwise(F.shiftrightunsigned("h", 1))
+    to = to.select("doc_id", "size", "text_crc32", "h", F.col("to").alias("shard"), first.alias("stand"))
     # those beyond a shard's quota, and documents without neighbours, fill up
-    inside = cut_lineage(row_ranks(to, ["shard"], "h", ["doc_id", "size", "text_crc32"], rows, "r"))
+    inside = cut_lineage(row_ranks(to, ["shard"], "stand", ["doc_id", "size", "text_crc32"], rows, "r").drop("stand"))
     quota = [rows // shards + (s < rows % shards) for s in range(shards)]
     most = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, quota[s])]), F.col("shard"))
     kept = inside.filter(F.col("r") < most).drop("r")
