@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from keyloom.sources.tables import cut_lineage
 
 
+EDGES = 1 << 19
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its tree) that join what the given edges join."""
     nodes, at = np.unique(np.r_[a, b], return_inverse=True)
@@ -36,19 +39,38 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of a partition's edges, EDGES of them at a time."""
+    us, vs, held = [], [], 0
+
+    def put() -> pa.RecordBatch:
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.record_batch({"u": u, "v": v})
+
     for b in batches:
-        if b.num_rows:
-            u, v = forest(b.column("u").to_numpy(), b.column("v").to_numpy())
-            yield pa.record_batch({"u": u, "v": v})
+        us.append(b.column("u").to_numpy())
+        vs.append(b.column("v").to_numpy())
+        held += b.num_rows
+        if held >= EDGES:
+            yield put()
+            us, vs, held = [], [], 0
+    if held:
+        yield put()
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether the trees are stars: no node is both a leaf and a centre, no leaf has two centres."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf > 1 or (leaf > 0 and centre > 0)").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """`edges` (u long, v long) to (node, component): the smallest node reachable; nodes without edges are absent."""
-    spark = edges.sparkSession
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
-    e = e.mapInArrow(_forests, "u long, v long").distinct()  # batches shrink to forests before any shuffle
-    e = cut_lineage(e)
+    # edges shrink to forests where they are, and again where they meet
+    e = cut_lineage(e.mapInArrow(_forests, "u long, v long").distinct().mapInArrow(_forests, "u long, v long"))
     for _ in range(most_rounds):
+        if _settled(e):
+            break
         # large-star: every larger neighbour of a node is tied to the node's least neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -56,14 +78,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         # small-star: every smaller neighbour, and the node, is tied to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = tied.filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = cut_lineage(small)
-        # stars: no node is both a leaf and a centre, and no leaf has two centres
-        again = new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").limit(1).count()
-        twice = 0 if again else new.groupBy("u").count().filter("count > 1").limit(1).count()
-        e = new
-        if not again and not twice:
-            break
+        e = cut_lineage(tied.filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     e = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

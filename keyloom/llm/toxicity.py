@@ -27,7 +27,7 @@ from keyloom.llm.text import Texts, Words, chunks, hash_words, identified, mix,
 from keyloom.sources.tables import read_table
 
 BITS = 18
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
 FIT_DOCS = 300
 FIT_WORDS = 1500
@@ -176,9 +176,11 @@ def fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Crf:
     full = np.full(1 << BITS, float(np.median(emit)) if len(emit) else -4.0)
     full[used] = emit
     full[0] = 0 if used[:1].tolist() != [0] else full[0]
-    whole = np.concatenate([docs[i] for i in new])
-    ends = np.concatenate([[0], np.cumsum([len(docs[i]) for i in new])]).astype(np.int64)
-    f = features(marginals(full[whole].sum(axis=1), ends, trans, start), ends)
+    f = []
+    for some in (new[i : i + 100] for i in range(0, len(new), 100)):
+        ends = np.concatenate([[0], np.cumsum([len(docs[i]) for i in some])]).astype(np.int64)
+        f.append(features(marginals(np.concatenate([full[docs[i]].sum(axis=1) for i in some]), ends, trans, start), ends))
+    f = np.concatenate(f)
     return Crf(full.astype(np.float32).astype(float), trans, start, logistic(f, y[new].astype(float), weight[new]))
 
 
@@ -206,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Crf:
     y = rows.column("toxic").to_numpy().astype(int)
     found = np.bincount(y, minlength=2)
     weight = np.array([size.get(int(c), 0) / max(1, found[c]) for c in y]) if len(y) else np.zeros(0)
-    return fit([np.frombuffer(w.as_buffer(), np.uint32).astype(np.int64).reshape(-1, 1 + len(PREFIXES)) for w in rows.column("words")], y, weight)
+    return fit([np.frombuffer(w.as_buffer(), np.uint32).reshape(-1, 1 + len(PREFIXES)) for w in rows.column("words")], y, weight)
 
 
 def score(docs: DataFrame, model: Crf) -> DataFrame:
