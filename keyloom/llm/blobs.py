@@ -6,11 +6,12 @@ callers keep hot values out of them by sending each value once a batch.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 BUCKET_BYTES = 6 << 20
 
@@ -74,3 +75,9 @@ def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts, and the length at the end."""
     n = len(sorted_values)
     return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget finished jobs now: Spark deletes their shuffle files only once their plans are garbage collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, undeal
+from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, release, undeal
 from keyloom.llm.components import components, forest
 from keyloom.llm.text import chunks, identified, mix, shingle_sets
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
@@ -316,11 +316,13 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     docs = identified(docs)
     rows = scratch_path(spark, "sets")
     survey(docs, k, percent).write.parquet(rows)
+    release(spark)
     surveyed = spark.read.parquet(rows)
     described = surveyed.filter("kind = 1").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("set"))
     stands = described.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     at = scratch_path(spark, "groups")
     groups(docs, k, percent, frequent(surveyed)).write.parquet(at)
+    release(spark)
     met = spark.read.parquet(at)
     large = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set"))
     points = met.filter("kind = 2").select(F.col("a").alias("set"), F.col("b").alias("n"), "point")
@@ -337,6 +339,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(large.select("set")).distinct()
     kept = scratch_path(spark, "members")
     wanted_sets(docs, stands.join(named, "set"), k).write.parquet(kept)
+    release(spark)
     known = spark.read.parquet(kept)
     first = cut_lineage(verified(pairs, known, percent))
     label = cut_lineage(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
@@ -354,6 +357,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     parts = asks.union(holds).join(known, "set").withColumn("part", F.xxhash64("pivot", "t")).select("part", "set", "label", "members", "own")
     more = search_groups(parts, percent)
     edges = cut_lineage(first.union(more))
+    release(spark)
     # components of sets, then the smallest document of each
     ends = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "set")
     rooted = stands.join(ends, "set", "left").withColumn("root", F.coalesce("component", "set"))

@@ -17,17 +17,16 @@ A leader that very many documents share is sent once a batch, and occurrences of
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.blobs import bucket_count, deal, group_starts, undeal
+from keyloom.llm.blobs import bucket_count, deal, group_starts, release, undeal
 from keyloom.llm.text import Texts, chunks, mix
 from keyloom.sources.tables import scratch_path
 
@@ -289,12 +288,6 @@ def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "cover")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: its cleaner waits for the driver to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cover_mask(cover: pa.Scalar, n: int) -> np.ndarray:
     """Which of n symbols the spans cover."""
     if not cover.is_valid:

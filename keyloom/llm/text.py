@@ -107,7 +107,7 @@ def hash_words(t: Texts, w: Words, lower: bool = False) -> np.ndarray:
     table = _LOWER if lower else _BYTE
     i = 0
     while i < len(out):  # in steps, so that arrays of 8 bytes a byte stay small
-        j = max(i + 1, int(np.searchsorted(w.end, w.start[i] + 4 * CHUNK_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(w.end, w.start[i] + CHUNK_BYTES, "right")))
         s, e = w.start[i:j], w.end[i:j]
         size = e - s
         power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
