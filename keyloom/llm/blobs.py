@@ -77,7 +77,22 @@ def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def release(spark: SparkSession) -> None:
-    """Lets the driver forget finished jobs now: Spark deletes their shuffle files only once their plans are garbage collected."""
+    """Lets the driver forget finished jobs now, rather than when its heap is full."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """`df`, written to `path` and read again; the shuffle files of the write go as soon as it ends."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, release, undeal
+from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, keep, release, undeal
 from keyloom.llm.components import components, forest
 from keyloom.llm.text import chunks, identified, mix, shingle_sets
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
@@ -314,16 +314,12 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links of similarity percent / 100 or more."""
     spark = docs.sparkSession
     docs = identified(docs)
-    rows = scratch_path(spark, "sets")
-    survey(docs, k, percent).write.parquet(rows)
+    surveyed = keep(survey(docs, k, percent), scratch_path(spark, "sets"))
     release(spark)
-    surveyed = spark.read.parquet(rows)
     described = surveyed.filter("kind = 1").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("set"))
     stands = described.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    at = scratch_path(spark, "groups")
-    groups(docs, k, percent, frequent(surveyed)).write.parquet(at)
+    met = keep(groups(docs, k, percent, frequent(surveyed)), scratch_path(spark, "groups"))
     release(spark)
-    met = spark.read.parquet(at)
     large = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set"))
     points = met.filter("kind = 2").select(F.col("a").alias("set"), F.col("b").alias("n"), "point")
     # members of large groups are tied to the group's pivots: those in most large groups, as the source of copies is, with which the
@@ -337,10 +333,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     pairs = cut_lineage(bounded(pairs, points, percent))
     # the bound leaves few sets; their members are read from the texts once, with those of large groups for what follows
     named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(large.select("set")).distinct()
-    kept = scratch_path(spark, "members")
-    wanted_sets(docs, stands.join(named, "set"), k).write.parquet(kept)
+    known = keep(wanted_sets(docs, stands.join(named, "set"), k), scratch_path(spark, "members"))
     release(spark)
-    known = spark.read.parquet(kept)
     first = cut_lineage(verified(pairs, known, percent))
     label = cut_lineage(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     now = large.join(label.withColumnRenamed("node", "set"), "set", "left").select("group", "set", F.coalesce("component", "set").alias("label"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.blobs import bucket_count, deal, group_starts, release, undeal
+from keyloom.llm.blobs import bucket_count, deal, group_starts, keep, undeal
 from keyloom.llm.text import Texts, chunks, mix
 from keyloom.sources.tables import scratch_path
 
@@ -277,12 +277,8 @@ def covered(cut: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
 def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents with `cover`: spans (start, end) of symbols to remove, unsorted and overlapping, null if none."""
     spark = docs.sparkSession
-    leads, cuts = scratch_path(spark, "leads"), scratch_path(spark, "fragments")
-    shared_leads(docs, rule).write.option("compression", "zstd").parquet(leads)
-    release(spark)
-    fragments(docs, spark.read.parquet(leads), rule, bucket_count(docs)).write.option("compression", "zstd").parquet(cuts)
-    release(spark)
-    cut = spark.read.parquet(cuts)
+    leads = keep(shared_leads(docs, rule), scratch_path(spark, "leads"))
+    cut = keep(fragments(docs, leads, rule, bucket_count(docs)), scratch_path(spark, "fragments"))
     spans = covered(cut, first_occurrences(cut, rule), rule)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "cover")
