@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for b in batches:
-            for t in chunks(b, most=4 << 20):
+            for t in chunks(b):
                 x, first, start, end = tokens(t)
                 m = marginals(crf.emit[x].sum(axis=1), first, crf.trans, crf.start)
                 spans = [[] for _ in range(len(t))]
@@ -249,7 +249,7 @@ def keep_clean(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> Dat
         for b in batches:
             scores = [np.zeros(0)]
             numbered = pa.record_batch({"at": np.arange(b.num_rows), "text": b.column("text")})
-            for t in chunks(numbered, "at", most=4 << 20):
+            for t in chunks(numbered, "at"):
                 x, first, _, _ = tokens(t)
                 scores.append(crf.score(features(marginals(crf.emit[x].sum(axis=1), first, crf.trans, crf.start), first)))
             yield b.filter(pa.array(np.concatenate(scores) < threshold))
