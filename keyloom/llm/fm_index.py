@@ -75,7 +75,7 @@ class FmIndex:
         own = np.ones(n, bool)
         own[self.at[1:] - 1] = False
         full[own] = text
-        self.sa, differs = suffix_order(full, int(sizes.max(initial=0)) + 1, window)
+        self.sa, differs = suffix_order(full, window)
         bwt = full[self.sa - 1]
         self.tree = WaveletTree(bwt)
         counts = np.bincount(full)
@@ -98,10 +98,10 @@ def stream(index, window: int) -> np.ndarray:
     sizes = np.diff(index.at) - 1
     order = np.argsort(-sizes, kind="stable")
     long, end = sizes[order], (index.at[1:] - 2)[order]
-    low = np.zeros(len(long), np.int64)
+    short, low = -long, np.zeros(len(long), np.int64)
     found = np.full(index.size, -1, np.int64)
     for t in range(int(long[0]) if len(long) else 0):
-        k = int(np.searchsorted(-long, -t, "left"))
+        k = int(np.searchsorted(short, -t, "left"))
         place = end[:k] - t
         lo = index.extend(index.full[place], low[:k])
         if t + 1 >= window:

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.blobs import bucket_count, deal, group_starts, keep, undeal
-from keyloom.llm.text import Texts, chunks, mix
+from keyloom.llm.text import Texts, buffers, chunks, mix
 from keyloom.sources.tables import scratch_path
 
 LEAD = np.dtype([("lead", np.uint64), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("start", np.uint32), ("n", np.uint8), ("known", np.uint8)])
 FLUSH = 600_000
+#: Of the documents for each shard: the fragments' places should fit 21 bits, see `suffix_order`.
+SHARD_BYTES = 2 << 20
 FAR = np.iinfo(np.int64).max
 
 
@@ -240,6 +242,7 @@ def first_occurrences(cut: DataFrame, rule: Rule) -> DataFrame:
         head, content = unpacked(table.column("blob"), table.column("size"))
         order = np.lexsort((head["start"], head["doc"], head["name"]))
         order = order[np.r_[True, head["name"][order][1:] != head["name"][order][:-1]]]
+        order = order[np.lexsort((head["start"][order], head["doc"][order]))]
         content, head = content.take(pa.array(order)), head[order]
         best_doc, best_start, at = rule.search(content, head["doc"], head["start"], head["n"].astype(np.int64), rule.size)
         blobs = lambda v: pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(len(head))], pa.binary())
@@ -253,23 +256,23 @@ def covered(cut: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at, raw = buffers(b.column("best_doc"))
+            best_doc, best_start = raw.view(np.int64), buffers(b.column("best_start"))[1].view(np.int64)
+            at = at // 8
+            n = np.diff(at)
             doc, start = b.column("doc_id").to_numpy(), b.column("start").to_numpy()
-            d, s, e = [], [], []
-            for i, (x, y) in enumerate(zip(b.column("best_doc"), b.column("best_start"), strict=True)):
-                bd, bs = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                later = bd < doc[i]
-                if rule.same_document:
-                    later |= (bd == doc[i]) & (bs < start[i] + np.arange(len(bd)))
-                if later.all():
-                    runs = [(0, len(later))]
-                else:
-                    edge = np.flatnonzero(np.diff(np.r_[False, later, False].astype(np.int8)))
-                    runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                for p, q in runs:
-                    d.append(doc[i])
-                    s.append(start[i] + p)
-                    e.append(start[i] + q - 1 + rule.size)
-            yield pa.record_batch({"doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
+            row = np.repeat(np.arange(len(n)), n)
+            later = best_doc < doc[row]
+            if rule.same_document:
+                later |= (best_doc == doc[row]) & (best_start < start[row] + np.arange(len(row)) - at[row])
+            inner = np.ones(len(row), bool)  # whether a window has the one before it beside it
+            inner[at[:-1][n > 0]] = False
+            opens, shuts = later.copy(), later.copy()
+            opens[1:] &= ~(later[:-1] & inner[1:])
+            shuts[:-1] &= ~(later[1:] & inner[1:])
+            p, q = np.flatnonzero(opens), np.flatnonzero(shuts)
+            own = row[p]
+            yield pa.record_batch({"doc_id": doc[own], "start": start[own] + p - at[own], "end": start[own] + q - at[own] + rule.size})
 
     return cut.filter("shard is null").select("name", "doc_id", "start").join(firsts, "name").mapInArrow(run, "doc_id long, start long, end long")
 
@@ -278,7 +281,7 @@ def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents with `cover`: spans (start, end) of symbols to remove, unsorted and overlapping, null if none."""
     spark = docs.sparkSession
     leads = keep(shared_leads(docs, rule), scratch_path(spark, "leads"))
-    cut = keep(fragments(docs, leads, rule, bucket_count(docs)), scratch_path(spark, "fragments"))
+    cut = keep(fragments(docs, leads, rule, bucket_count(docs, SHARD_BYTES)), scratch_path(spark, "fragments"))
     spans = covered(cut, first_occurrences(cut, rule), rule)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "cover")
@@ -295,58 +298,60 @@ def cover_mask(cover: pa.Scalar, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def suffix_order(full: np.ndarray, longest: int, upto: int, packed_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes, and for each place in it whether the suffix differs from the one before in its first `upto` symbols.
+def suffix_order(full: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes by their first `depth` symbols, equal ones by place, and for each place in it whether the suffix differs
+    from the one before.
 
-    `full` has sequences of symbols over 0, each ended by 0, where comparison stops; equal suffixes stand in the order of their
-    sequences, which is as if each sequence ended with a sign of its own. `packed_bytes`: symbols fit a byte, eight are compared at once.
+    `full` has sequences of symbols over 0, each ended by 0, where comparison stops. A search that only follows lower ends and is cut back
+    to `depth` needs no deeper order. Ranks double their depth; key and place share a word, which sorts several times faster than places by
+    key do.
     """
     n = len(full)
     ends = full == 0
     left = np.flatnonzero(ends)[np.cumsum(ends) - ends] - np.arange(n)  # symbols before the end
-    order = np.arange(n)
+    bits, symbol = max(1, (n - 1).bit_length()), max(1, int(full.max(initial=0)).bit_length())
+    place = np.arange(n, dtype=np.uint64)
+    low, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
 
-    def beside(r: np.ndarray, by: int, plus: int) -> np.ndarray:
-        nxt = np.zeros(n, r.dtype)
-        nxt[: n - by] = np.where(left[: n - by] >= by, r[by:] + r.dtype.type(plus), 0)
+    def beside(r: np.ndarray, by: int) -> np.ndarray:
+        nxt = np.zeros(n, np.uint64)
+        nxt[: n - by] = np.where(left[: n - by] >= by, r[by:], np.uint64(0))
         return nxt
 
-    def dense(key: np.ndarray, last: bool) -> np.ndarray:
-        nonlocal order
-        order = np.argsort(key, kind="stable" if last else None)
-        key = key[order]
-        out = np.empty(n, np.int64)
-        out[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    def ranked(order: np.ndarray, differs: np.ndarray) -> np.ndarray:
+        out = np.empty(n, np.uint64)
+        out[order] = np.cumsum(differs) - 1
         return out
 
-    depth, half, reach = 1, None, 0
-    if packed_bytes:
-        key = full.astype(np.uint64)
-        for bits in (8, 16, 32):
-            key = (key << np.uint64(bits)) | beside(key, depth, 0)
-            depth *= 2
-    else:
-        key = full
-    rank = dense(key, depth >= longest)
-    if depth >= upto or depth >= longest:
-        half, reach = rank, 0
-    while depth < longest:
-        if half is None and 2 * depth >= upto:
-            half, reach = rank, upto - depth
-        step = min(depth, longest - depth)
-        rank = dense(rank * (n + 1) + beside(rank, step, 1), depth + step >= longest)
-        depth += step
-    if half is None:
-        half = rank
-    differs = np.r_[True, half[order][1:] != half[order][:-1]]
-    if reach:
-        far = beside(half, reach, 1)[order]
-        differs[1:] |= far[1:] != far[:-1]
+    def changes(key: np.ndarray) -> np.ndarray:
+        return np.r_[True, key[1:] != key[:-1]]
+
+    have = max(1, min(depth, (64 - bits) // symbol))
+    key = full.astype(np.uint64)
+    first = key
+    for i in range(1, have):
+        key = (key << np.uint64(symbol)) | beside(first, i)
+    key = np.sort((key << shift) | place)
+    order, differs = (key & low).astype(np.int64), changes(key >> shift)
+    while have < depth and not differs.all():
+        rank, step = ranked(order, differs), min(have, depth - have)
+        after = beside(rank, step)
+        if 3 * bits <= 64:
+            key = np.sort((rank << np.uint64(2 * bits)) | (after << shift) | place)
+            order, differs = (key & low).astype(np.int64), changes(key >> shift)
+        else:  # by the second rank first, then by the first
+            order = (np.sort((after << shift) | place) & low).astype(np.int64)
+            key = np.sort((rank[order] << shift) | place)
+            order = order[(key & low).astype(np.int64)]
+            differs = changes(key >> shift) | changes(after[order])
+        have += step
     return order, differs
 
 
 def earliest(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of occurrences (document, start) as ranks, and the occurrences by rank."""
+    if ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] >= start[:-1]))).all():
+        return np.arange(len(doc)), np.arange(len(doc))
     order = np.lexsort((start, doc))
     rank = np.empty(len(doc), np.int64)
     rank[order] = np.arange(len(doc))

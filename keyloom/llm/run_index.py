@@ -39,12 +39,12 @@ class RunIndex:
         own = np.ones(n, bool)
         own[self.at[1:] - 1] = False
         full[own] = text.astype(np.int64) + 1
-        sa, differs = suffix_order(full, int(sizes.max(initial=0)) + 1, window, packed_bytes=True)
+        sa, differs = suffix_order(full, window)
         bwt = full[sa - 1]
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         length = np.diff(np.r_[head, n])
         self.samples = sa[head + length - 1]  # suffixes at the ends of runs
-        order = np.argsort(bwt[head], kind="stable")  # runs of a symbol together
+        order = np.argsort(bwt[head].astype(np.uint16), kind="stable")  # runs of a symbol together
         self.key = bwt[head][order] * (n + 1) + head[order]
         self.run_symbol, self.run_start, self.run_length = bwt[head][order], head[order], length[order]
         total = np.cumsum(self.run_length) - self.run_length
@@ -58,9 +58,14 @@ class RunIndex:
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often `symbol` is among the first i of the transform."""
-        r = np.searchsorted(self.key, symbol * (self.size + 1) + i, "left") - 1
+        ask = symbol * (self.size + 1) + i
+        order = np.argsort(ask)  # so that the search goes through the runs in one direction
+        ask, symbol, i = ask[order], symbol[order], i[order]
+        r = np.searchsorted(self.key, ask, "left") - 1
         ok = (r >= 0) & (self.run_symbol[r] == symbol)
-        return np.where(ok, self.run_before[r] + np.minimum(i - self.run_start[r], self.run_length[r]), 0)
+        out = np.empty(len(ask), np.int64)
+        out[order] = np.where(ok, self.run_before[r] + np.minimum(i - self.run_start[r], self.run_length[r]), 0)
+        return out
 
     def extend(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The first suffix of those that start with `symbol` and go on as the suffixes from `low`."""
