@@ -6,7 +6,8 @@ least-hashed gram in it, equal windows have equal leaders, and consecutive windo
 the shard of their leader, so every repeat of a window meets in one shard.
 
 1. Leaders are dealt by hash, each with hashes of the half windows that end and start with it: two fragments share a window only
-   if they agree on one of these. A fragment whose halves are seen only once holds no repeat, so most text leaves here.
+   if they agree on one of these. A fragment whose halves are seen only once holds no repeat, so most text leaves here. Where a window
+   holds its leader more than once, equal windows may choose different places and so different halves; these fragments all stay.
 2. The fragments of the others are cut from the texts. Equal fragments collapse to their first occurrence before the shuffle.
 3. Each shard builds its index over the distinct fragments and streams them through it; for each window the index gives the interval
    of its occurrences, and the earliest of them is its first occurrence.
@@ -66,9 +67,10 @@ def least_of(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[:n], key[width - step : width - step + n]) if step < width else key[:n]
 
 
-def leaders(s: Symbols, size: int, gram: int, inner: bool = False) -> tuple[np.ndarray, ...]:
-    """(leader, document, first window, windows, twice, left half, right half) of each fragment; with `inner`, `twice` tells that a window of it holds its
-    leader more than once, as it must where a window is repeated within the fragment."""
+def leaders(s: Symbols, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(leader, document, first window, windows, twice, left half, right half) of each fragment; `twice` tells that a window of it holds its
+    leader more than once, as it must where a window is repeated within the fragment. Ties go by place modulo 128, so such a window can have another place
+    elsewhere."""
     width = size - gram + 1
     if len(s.grams) < width:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool), *[np.zeros(0, np.uint16)] * 2
@@ -83,7 +85,7 @@ def leaders(s: Symbols, size: int, gram: int, inner: bool = False) -> tuple[np.n
     place_of = at + ((lead.astype(np.int64) - at) & 127)
     cut = np.flatnonzero(np.r_[True, (place_of[1:] != place_of[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.zeros(0, np.int64)
     twice = np.zeros(len(cut), bool)
-    if inner and len(cut):
+    if len(cut):
         other = least_of(high | (low - place), width)[at]
         twice = np.logical_or.reduceat(((other ^ lead) & low) != low, cut)
     half, spot = (size - gram) // 2, place_of[cut]
@@ -138,7 +140,7 @@ def shared_leads(docs: DataFrame, rule: Rule) -> DataFrame:
         held, size = [], 0
         for b in batches:
             for t in chunks(b):
-                lead, doc, start, n, twice, left, right = leaders(rule.read(t), rule.size, rule.gram, rule.same_document)
+                lead, doc, start, n, twice, left, right = leaders(rule.read(t), rule.size, rule.gram)
                 r = np.zeros(len(lead), LEAD)
                 r["lead"], r["doc"], r["start"], r["n"] = lead, t.ids[doc], start, n
                 r["known"], r["left"], r["right"] = twice, left, right

@@ -66,6 +66,18 @@ def test_against_brute_force(spark, name):
     assert run(frame(spark, [(None, "x y z"), (1, "x y z")])).count() == 1
 
 
+def test_short_repetitive_passages(spark):
+    """Passages whose windows hold their leader twice, in two documents at all 128 alignments: documents of 256 words, so places modulo 128 are known."""
+    texts = []
+    for k in range(128):
+        passage = [f"p{k}x{i % 4}" for i in range(13)]
+        for d, at in ((2 * k, 20), (2 * k + 1, 20 + k)):
+            fill = [f"f{d}y{i}" for i in range(256 - len(passage))]
+            texts.append((d, " ".join(fill[:at] + passage + fill[at:])))
+    run, want = CASES["op5"]
+    assert rows(run(frame(spark, texts))) == want(texts)
+
+
 def test_ngram_large_groups(spark, monkeypatch):
     """Families of many near copies go through pivots and trees."""
     r = random.Random(5)
