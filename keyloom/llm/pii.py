@@ -1,7 +1,8 @@
 """Personal data: candidate spans, judged by boosted trees.
 
 Base patterns are exact rules and always kept. Beside them, generators of high recall propose overlapping spans: digit groups that may
-be telephone or card numbers, addresses that are spelled out, colon-separated hexadecimal groups. Gradient-boosted trees score each
+be telephone or card numbers (every sequence of neighbouring groups with a fitting number of digits, as lines may hold several numbers
+side by side), addresses that are spelled out, colon-separated hexadecimal groups. Gradient-boosted trees score each
 candidate from its format and its context; a threshold for each kind, set on held-out examples to a precision of PRECISION, selects.
 No table labels spans, so the trees are trained here on EXAMPLES examples made by rule, with a fixed seed.
 
@@ -15,8 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 4000
 PRECISION = 0.98
 CONTEXT = 40
+BLOCK = 10_000
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +44,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY_SIGN = re.compile(r"[0-9@]")
 SPELLED = re.compile(r"(?:[ ]?[(\[]at[)\]][ ]?| at )[A-Za-z0-9-]{1,63}(?:[ ]?[(\[]dot[)\]][ ]?| dot |\.)[A-Za-z]{2,10}", re.ASCII)
 DIGITS = re.compile(r"(?<![0-9])\(?[0-9](?:[ ()./_-]{0,3}[0-9])*")
+GROUP = re.compile(r"[0-9]+")
+JOINED_BEFORE = re.compile(r"[0-9]([ ()./_-]{0,3})\Z")
+JOINED_AFTER = re.compile(r"([ ()./_-]{0,3})[0-9]")
+DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2})(?![0-9])")
 HEX = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])")
 WORDS_NEAR = {
     "email": re.compile(r"mail|contact|write|reach", re.I), "phone": re.compile(r"phone|tel|call|fax|mobile|cell|dial", re.I),
@@ -91,39 +100,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """Spans that may be personal data, overlapping and with several kinds."""
-    out = []
     for m in SPELLED.finditer(text):
         s = m.start()
         while s > max(0, m.start() - 64) and text[s - 1] in LOCAL:
             s -= 1
         if s < m.start():
-            out.append((s, m.end(), "email"))
+            yield s, m.end(), "email"
     if not ANY_SIGN.search(text):
-        return out
+        return
     for m in DIGITS.finditer(text):
-        n = len(only_digits(m[0])) if m.end() - m.start() >= 7 else 0
-        if 7 <= n <= 15:
-            out.append((m.start(), m.end(), "phone"))
-        if 12 <= n <= 19:
-            out.append((m.start() + m[0].startswith("("), m.end(), "card"))
+        if m.end() - m.start() >= 7:
+            recent: deque = deque(maxlen=19)
+            for g in GROUP.finditer(text, m.start(), m.end()):
+                recent.append(g.span())
+                n = 0
+                for s, e in reversed(recent):
+                    n += e - s
+                    if n > 19:
+                        break
+                    if 7 <= n <= 15:
+                        yield s - (s > m.start() and text[s - 1] == "("), g.end(), "phone"
+                    if n >= 12:
+                        yield s, g.end(), "card"
     for m in HEX.finditer(text):
-        out.append((m.start(), m.end(), "ip"))
-    return out
+        yield m.start(), m.end(), "ip"
+
+
+@lru_cache(64)
+def context_before(text: str, start: int) -> tuple:
+    """The sign before, what joins digits before (none if nothing does), and which telling words are near."""
+    before = text[max(0, start - CONTEXT) : start]
+    m = JOINED_BEFORE.search(before)
+    return before[-1:], m and m[1].strip("()"), [float(bool(p.search(before))) for p in WORDS_NEAR.values()]
 
 
 def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format and context of a candidate."""
     s, digits = text[start:end], only_digits(text[start:end])
-    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    prev, join_before, near = context_before(text, start)
+    nxt, join_after = text[end : end + 1], JOINED_AFTER.match(text, end)
     groups = re.findall(r"[0-9]+", s)
     sizes = [len(g) for g in groups] or [0]
-    prev, nxt = before[-1:], after[:1]
+    seps, joins = re.findall(r"[^0-9()]+", s), (join_before, join_after and join_after[1].strip("()"))
     return [
         float(KINDS.index(kind)), len(digits), len(groups), max(sizes), min(sizes), float(luhn(digits)) if digits else 0.0, float("(" in s or "[" in s), s.count("-"), s.count("."), s.count("/"), s.count(" "), s.count(":"),
         float(prev.isalnum() or prev in ("_", "$", "#", "€")), float(nxt.isalnum() or nxt in ("_", "%")), float(sizes[0] == 4 and digits[:2] in ("19", "20")), float(s[:1] in "345(0"),
-        *[float(bool(p.search(before))) for p in WORDS_NEAR.values()], float("dot" in s.lower()), float(s.count("::") > 0), float(len(set(sizes)) == 1), float(bool(re.search("[A-Fa-f]", s))),
+        *near, float("dot" in s.lower()), float(s.count("::") > 0), float(len(set(sizes)) == 1), float(bool(re.search("[A-Fa-f]", s))),
+        # digits that a separator joins to the candidate (without or with a space), and whether the candidate has that separator within
+        *[0.0 if j is None else 1.0 + (" " in j) for j in joins], *[float(j is not None and j in seps) for j in joins],
+        sizes[0], sizes[-1], len(set(seps)), max(map(len, seps), default=0), float(bool(DATE.search(s))),
     ]
 
 
@@ -174,38 +201,59 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
-    """Texts with one thing in them, and whether it is personal data: formats by kind, with and without telling context."""
+def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Texts with one thing in them or two side by side, and the spans of those that are personal data: formats by kind, with and without telling
+    context."""
     r = np.random.default_rng(seed)
     d = lambda k: "".join(map(str, r.integers(0, 10, k)))
     pick = lambda *x: x[int(r.integers(0, len(x)))]
     word = lambda: pick("river", "stone", "marta", "lee", "green", "anton", "sky", "mira")
 
-    def card() -> str:
+    def phone() -> str:
+        return pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}")
+
+    def date() -> str:
+        return pick(f"{pick('19', '20')}{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{pick('19', '20')}{d(2)}", f"{pick('19', '20')}{d(2)}-{pick('19', '20')}{d(2)}", f"{pick('19', '20')}{d(2)}.{d(2)}.{d(2)}")
+
+    def card(*seps: str) -> str:
         body = pick("4", "5", "37", "6011") + d(16)
         body = body[: pick(14, 15)]
         body += next(c for c in "0123456789" if luhn(body + c))
-        sep = pick(".", "/", "_", "  ")
+        sep = pick(*(seps or (".", "/", "_", "  ")))
         return sep.join(body[i : i + 4] for i in range(0, len(body), 4))
 
     good = [
-        lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "fax ", ""), pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}")),
+        lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "fax ", ""), phone()),
         lambda: (pick("card number ", "pay with visa ", "credit card: ", "debit card "), card()),
         lambda: (pick("mail ", "contact ", "write to ", ""), f"{word()}{d(2)}{pick(' at ', ' (at) ', '[at]')}{word()}{pick(' dot ', ' (dot) ', '[dot]')}{pick('com', 'org', 'net')}"),
         lambda: (pick("server ip ", "host ", "login from ", "address "), ":".join(f"{int(x):x}" for x in r.integers(256, 65536, 8))),
     ]
     bad = [
         lambda: (pick("order ", "invoice no. ", "serial ", "ticket ", "", "item "), pick(d(7), d(8), d(9), d(12), d(14), f"{d(4)}-{d(5)}", f"{d(5)}-{d(6)}")),
-        lambda: (pick("on ", "date ", "", "from "), pick(f"{pick('19', '20')}{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{pick('19', '20')}{d(2)}", f"{pick('19', '20')}{d(2)}-{pick('19', '20')}{d(2)}", f"{pick('19', '20')}{d(2)}.{d(2)}.{d(2)}")),
+        lambda: (pick("on ", "date ", "", "from "), date()),
         lambda: (pick("isbn ", "page ", "figure "), pick(f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(3)} {d(3)} {d(3)}")),
         lambda: (pick("total ", "", "sum of "), pick(f"{d(3)} {d(3)} {d(3)}", f"{d(1)} {d(2)} {d(3)} {d(2)}", f"{d(3)}.{d(3)}.{d(3)}")),
         lambda: (pick("we met ", "look ", "stay "), f"at {word()}.{pick('then', 'the', 'com', 'it')}"),
         lambda: (pick("at ", "", "time "), ":".join(d(2) for _ in range(4))),
     ]
+    beside = [
+        lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "fax ", ""), [(phone(), 1), (phone(), 1)]),
+        lambda: (pick("call me at ", "phone: ", "tel. ", ""), [(phone(), 1), (date(), 0)]),
+        lambda: (pick("on ", "date ", ""), [(date(), 0), (phone(), 1)]),
+        lambda: (pick("card number ", "pay with visa ", "credit card: ", ""), [(card(" ", "-", ".", ""), 1), (f"{pick('0', '1')}{d(1)}{pick('/', '-')}{pick('', '20')}{d(2)}", 0)]),
+        lambda: (pick("card number ", "credit cards: ", ""), [(card(" ", "-", ".", ""), 1), (card(" ", "-", ".", ""), 1)]),
+        lambda: (pick("from ", "dates ", ""), [(date(), 0), (date(), 0)]),
+        lambda: (pick("order ", "items ", "", "page "), [(pick(d(4), d(7), d(9)), 0), (pick(d(5), d(8), date()), 0)]),
+    ]
     out = []
     for i in range(n):
-        context, thing = pick(*(good if i % 2 else bad))()
-        out.append((f"{word()} {word()} {context}{thing}{pick('', '.', ' and', ',')} {word()}", i % 2))
+        context, things = pick(*(beside if i % 4 >= 2 else good if i % 2 else bad))()
+        text, spans = f"{word()} {word()} {context}", []
+        for j, (thing, right) in enumerate(things if isinstance(things, list) else [(things, i % 2)]):
+            text += pick(" ", " / ", "/", " - ", "  ") if j else ""
+            spans += [(len(text), len(text) + len(thing))] * right
+            text += thing
+        out.append((f"{text}{pick('', '.', ' and', ',')} {word()}", spans))
     return out
 
 
@@ -213,12 +261,12 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
 def trained() -> tuple[Boosted, dict[str, float]]:
     """The trees and the thresholds of the kinds."""
     x, y = [], []
-    for text, good in examples():
+    for text, spans in examples():
         base = base_spans(text)
         for s, e, kind in candidates(text):
             if not any(a < e and s < b for a, b, _ in base):
                 # a card-like number is a card only if the digits check, and a telephone number only if not a card
-                right = good and (kind != "card" or luhn(only_digits(text[s:e]))) and (kind != "phone" or len(only_digits(text[s:e])) <= 14)
+                right = (s, e) in spans and (kind != "card" or luhn(only_digits(text[s:e]))) and (kind != "phone" or len(only_digits(text[s:e])) <= 14)
                 x.append(describe(text, s, e, kind))
                 y.append(float(right))
     x, y = np.array(x), np.array(y)
@@ -238,20 +286,17 @@ def find_spans(text: str, model: Boosted, limits: dict[str, float]) -> tuple[lis
     """Base spans, and all spans: base ones and selected candidates that do not overlap them, best first."""
     base = base_spans(text)
     taken = sorted((s, e) for s, e, _ in base)
-    free = []
-    for c in candidates(text):
-        lo = np.searchsorted([x[0] for x in taken], c[1]) if taken else 0
-        if not any(a < c[1] and c[0] < b for a, b in taken[:lo]):
-            free.append(c)
-    added = []
-    if free:
+    starts, ends = [s for s, _ in taken], np.maximum.accumulate([0, *[e for _, e in taken]]).tolist()
+    fine, added = [], []
+    for free in batched((c for c in candidates(text) if ends[bisect_left(starts, c[1])] <= c[0]), BLOCK):
         p = model.score(np.array([describe(text, *c) for c in free]))
-        busy: list[tuple[int, int]] = []
-        for i in np.argsort(-p, kind="stable"):
-            s, e, kind = free[i]
-            if p[i] >= limits[kind] and not any(a < e and s < b for a, b in busy):
-                busy.append((s, e))
-                added.append(free[i])
+        fine += [(x, c) for x, c in zip(p.tolist(), free, strict=True) if x >= limits[c[2]]]
+    busy: list[tuple[int, int]] = []  # in order, none overlaps another
+    for _, (s, e, kind) in sorted(fine, key=lambda x: -x[0]):
+        at = bisect_left(busy, (e,))
+        if not at or busy[at - 1][1] <= s:
+            busy.insert(at, (s, e))
+            added.append((s, e, kind))
     key = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted(base, key=key), sorted(base + added, key=key)
 

@@ -160,6 +160,20 @@ def test_pii(spark):
     assert pii.redact("mail a@b.c now", [(5, 10, "email")]) == "mail [email] now"
 
 
+def test_pii_numbers_side_by_side():
+    model, limits = pii.trained()
+    for text, want in (
+        ("212-555-0199 / 212-555-0143", ["phone:212-555-0199", "phone:212-555-0143"]),
+        ("call (212) 555-0199 (212) 555-0143 now", ["phone:(212) 555-0199", "phone:(212) 555-0143"]),
+        ("card 4111 1111 1111 1111 12/25", ["card:4111 1111 1111 1111"]),
+        ("212-555-0199 2020-11-12", ["phone:212-555-0199"]),
+        ("2020-11-12 2021-01-02", []),
+    ):
+        assert [f"{k}:{text[s:e]}" for s, e, k in pii.find_spans(text, model, limits)[1]] == want
+    got = set(pii.candidates("12 345 6789 / 10 11"))
+    assert {(0, 11, "phone"), (3, 11, "phone"), (3, 16, "phone"), (7, 19, "phone"), (0, 19, "card")} <= got
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in registry.QUERIES["op6_toxicity_crf"](spark, sf).collect()}
