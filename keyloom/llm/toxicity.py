@@ -2,7 +2,7 @@
 
 Words are the CRF's tokens; a token's features are the hashes of the word and of its first 4 to 7 bytes. Token labels come from labelled documents: a word is tagged in toxic documents if one
 of its features is far more frequent there than in others. The CRF (one weight for each feature bucket, four transitions) is fitted by gradient on
-sentences of a bounded sample. Forward-backward gives each word's marginal; a document's score is a logistic function of the
+all documents of a bounded sample, in pieces of FIT_WORDS words and blocks of about FIT_BLOCK. Forward-backward gives each word's marginal; a document's score is a logistic function of the
 expected number of toxic words, their share and the largest marginal, fitted to the labels and weighed back to the sample's true
 proportions. Words with a marginal of 1/2 or more are the offending offsets.
 
@@ -29,8 +29,8 @@ from keyloom.sources.tables import read_table
 BITS = 18
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
-FIT_DOCS = 300
 FIT_WORDS = 1500
+FIT_BLOCK = 300_000
 STEPS = 40
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -150,32 +150,37 @@ def fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Crf:
     total = np.array([max(1, sum(y[i] == c for i in new)) for c in (0, 1)])
     rate = (count + 0.5) / (total[:, None] + 1)
     telling = (np.log(rate[1] / rate[0]) > 2.5) & (count[1] >= max(3, 0.02 * total[1]))
-    # fit on documents of both labels, as pieces of bounded length
-    use = [i for c in (1, 0) for i in [j for j in new if y[j] == c][:FIT_DOCS]]
-    parts = [(docs[i][a : a + FIT_WORDS], y[i]) for i in use for a in range(0, len(docs[i]), FIT_WORDS)]
-    x = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, 1 + len(PREFIXES)), np.int64)
-    first = np.concatenate([[0], np.cumsum([len(p) for p, _ in parts])]).astype(np.int64)
-    tag = telling[x].any(axis=1) & np.repeat(np.array([c for _, c in parts], bool), np.diff(first))
-    used, at = np.unique(x, return_inverse=True)
-    at = at.reshape(x.shape)
-    spread = lambda v: np.bincount(at.ravel(), weights=np.repeat(v, x.shape[1]), minlength=len(used))
-    emit, trans, start = np.zeros(len(used)), np.zeros((2, 2)), -2.0
-    want_e = spread(tag.astype(float))
-    inner = np.ones(len(x), bool)
-    inner[first[1:][np.diff(first) > 0] - 1] = False
-    i = np.flatnonzero(inner)
-    want_t = np.array([[(~tag[i] & ~tag[i + 1]).sum(), (~tag[i] & tag[i + 1]).sum()], [(tag[i] & ~tag[i + 1]).sum(), (tag[i] & tag[i + 1]).sum()]], float)
-    per = np.maximum(np.bincount(at.ravel(), minlength=len(used)), 1)
-    emit[:] = np.where(want_e > 0.5 * per, 1.0, -1.0)
+    # fit on all of them, as pieces of bounded length; blocks of pieces bound the memory
+    parts = [(docs[i][a : a + FIT_WORDS], y[i]) for i in new for a in range(0, len(docs[i]), FIT_WORDS)]
+    number = np.cumsum([0, *[len(p) for p, _ in parts]])[:-1] // FIT_BLOCK
+    blocks = []
+    for some in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(number)) + 1):
+        first = np.concatenate([[0], np.cumsum([len(parts[i][0]) for i in some])]).astype(np.int64)
+        x = np.concatenate([np.zeros((0, 1 + len(PREFIXES)), np.int64), *[parts[i][0] for i in some]]).astype(np.int32)
+        blocks.append((x, first, telling[x].any(axis=1) & np.repeat(np.array([parts[i][1] for i in some], bool), np.diff(first))))
+    spread = lambda x, v: np.bincount(x.ravel(), weights=np.repeat(v, x.shape[1]), minlength=1 << BITS)
+    trans, start = np.zeros((2, 2)), -2.0
+    per, want_e, want_t = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros((2, 2))
+    for x, first, tag in blocks:
+        per += np.bincount(x.ravel(), minlength=1 << BITS)
+        want_e += spread(x, tag.astype(float))
+        inner = np.ones(len(x), bool)
+        inner[first[1:][np.diff(first) > 0] - 1] = False
+        i = np.flatnonzero(inner)
+        want_t += np.array([[(~tag[i] & ~tag[i + 1]).sum(), (~tag[i] & tag[i + 1]).sum()], [(tag[i] & ~tag[i + 1]).sum(), (tag[i] & tag[i + 1]).sum()]], float)
+    used = per > 0
+    emit = np.where(want_e > 0.5 * per, 1.0, -1.0) * used
     for _ in range(STEPS):
-        e = emit[at].sum(axis=1)
-        m = marginals(e, first, trans, start)
-        emit += 0.8 * ((want_e - spread(m)) / per - 0.002 * emit)
-        have = pair_marginals(m, e, first, trans, start)
+        got, have = np.zeros(1 << BITS), np.zeros((2, 2))
+        for x, first, _ in blocks:
+            e = emit[x].sum(axis=1)
+            m = marginals(e, first, trans, start)
+            got += spread(x, m)
+            have += pair_marginals(m, e, first, trans, start)
+        emit += 0.8 * ((want_e - got) / np.maximum(per, 1) - 0.002 * emit)
         trans += 0.5 * ((want_t - have) / np.maximum(want_t.sum(axis=1, keepdims=True), 1) - 0.01 * trans)
-    full = np.full(1 << BITS, float(np.median(emit)) if len(emit) else -4.0)
-    full[used] = emit
-    full[0] = 0 if used[:1].tolist() != [0] else full[0]
+    full = np.where(used, emit, float(np.median(emit[used])) if used.any() else -4.0)
+    full[0] = full[0] if used[0] else 0
     f = []
     for some in (new[i : i + 100] for i in range(0, len(new), 100)):
         ends = np.concatenate([[0], np.cumsum([len(docs[i]) for i in some])]).astype(np.int64)

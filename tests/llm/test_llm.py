@@ -188,6 +188,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.keep_clean(docs, model).count() == docs.count()
 
 
+def test_toxicity_learns_from_all_of_the_sample():
+    """A toxic word that only the last documents of the sample use."""
+    r = np.random.default_rng(6)
+    early, late, docs, y = 1000, 2000, [], []
+    for i in range(800):
+        d = np.zeros((30, 1 + len(toxicity.PREFIXES)), np.uint32)
+        d[:, 0] = r.integers(10_000, 1 << toxicity.BITS, 30)
+        if i % 2:
+            d[r.integers(0, 30, 3), 0] = late if i >= 700 else early
+        docs.append(d)
+        y.append(i % 2)
+    model = toxicity.fit(docs, np.array(y), np.ones(800))
+    assert model.emit[early] > 0 and model.emit[late] > 0
+
+
 def test_marginals_against_enumeration():
     r = np.random.default_rng(0)
     first, trans, start = np.array([0, 0, 1, 6]), r.normal(size=(2, 2)), 0.3
