@@ -1,8 +1,11 @@
 """Substring deduplication of bytes with a run-length index for each shard.
 
 A shard's index is the run-compressed Burrows-Wheeler transform of its fragments: the symbol and the start of each run, counts of the
-symbol before it, and the suffix sampled at the end of each run. Counts in prefixes take one binary search over the runs, so the index
-follows the number of runs, which is small in repetitive text. Fragments stream through it backward as in the FM-index.
+symbol before it. Counts in prefixes take one binary search over the runs. Fragments stream through it backward as in the FM-index.
+
+Only these counts follow the number of runs. Intervals and first occurrences come from the marks of the suffix order (`group`, `starts`)
+and from the symbols (`full`), which have the size of the text, as has the suffix sort; the suffixes sampled at run ends (`samples`) are
+kept but not read.
 
 Defined cases: null text is empty; texts shorter than a window are kept whole; windows repeat within a document too; rows of a repeated
 doc_id are one document with several texts: an equal (doc_id, start) is not earlier; rows without doc_id are left out; extra columns are
