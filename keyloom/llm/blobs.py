@@ -6,12 +6,9 @@ callers keep hot values out of them by sending each value once a batch.
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 BUCKET_BYTES = 6 << 20
 
@@ -31,7 +28,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def deal(records: np.ndarray, h: np.ndarray, buckets: int, extra: dict | None = None) -> pa.RecordBatch:
+def deal(records: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows (bucket, blob) of structured `records`, dealt by the hashes `h`."""
     to = bucket_of(h, buckets).astype(np.int32)
     order = np.argsort(to, kind="stable")
@@ -58,41 +55,20 @@ def undeal(blobs: pa.ChunkedArray | pa.Array, dtype: np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
-def gather_batches(batches: Iterator[pa.RecordBatch], make: Callable, most: int) -> Iterator:
-    """Calls `make` on lists of items whose sizes sum to about `most`; `batches` yields (size, item)."""
-    held, size = [], 0
-    for n, item in batches:
-        held.append(item)
-        size += n
-        if size >= most:
-            yield make(held)
-            held, size = [], 0
-    if held:
-        yield make(held)
-
-
 def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts, and the length at the end."""
     n = len(sorted_values)
     return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
 
 
+#: The shuffle files of a query go as soon as it ends, rather than when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver forget finished jobs now, rather than when its heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keep(df: DataFrame, path: str) -> DataFrame:
-    """`df`, written to `path` and read again; the shuffle files of the write go as soon as it ends."""
+    """`df`, written to `path` and read again."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    if spark.conf.get(CLEANUP) != "true":
+        spark.conf.set(CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)

@@ -1,7 +1,8 @@
 """Connected components by joins, for edge tables of any size: large-star and small-star rounds.
 
-Each round is two aggregates by node with a map-side minimum, so a node with very many edges is summed
-before the shuffle. Rounds are cut with checkpoint(); their number is logarithmic in the diameter in practice.
+Edges shrink to forests in their partitions first, and again where they meet. Of what is left, up to `EDGES` edges are settled by one
+task; beyond that rounds go on, each two aggregates by node with a map-side minimum, so a node with very many edges is summed before the
+shuffle. Rounds are cut with checkpoint(); their number is logarithmic in the diameter in practice.
 """
 
 from __future__ import annotations
@@ -57,19 +58,30 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield put()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of all edges of a partition."""
+    held = list(batches)
+    if held:
+        u, v = forest(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v")))
+        yield pa.record_batch({"u": u, "v": v})
+
+
 def _settled(e: DataFrame) -> bool:
     """Whether the trees are stars: no node is both a leaf and a centre, no leaf has two centres."""
     ends = e.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(e.select("v", F.lit(0), F.lit(1)))
     return ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf > 1 or (leaf > 0 and centre > 0)").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """`edges` (u long, v long) to (node, component): the smallest node reachable; nodes without edges are absent."""
+def components(edges: DataFrame, most_rounds: int = 64, at_once: int = EDGES) -> DataFrame:
+    """`edges` (u long, v long) to (node, component): the smallest node reachable; nodes without edges are absent. Up to `at_once`
+    edges that are left of the partitions' forests are settled by one task."""
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
     # edges shrink to forests where they are, and again where they meet
     e = cut_lineage(e.mapInArrow(_forests, "u long, v long").distinct().mapInArrow(_forests, "u long, v long"))
+    if few := e.count() <= at_once:
+        e = e.coalesce(1).mapInArrow(_whole, "u long, v long")
     for _ in range(most_rounds):
-        if _settled(e):
+        if few or _settled(e):
             break
         # large-star: every larger neighbour of a node is tied to the node's least neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

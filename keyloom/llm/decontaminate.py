@@ -111,14 +111,14 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     """Every document with n_words, n_hit, n_items, items_sha256 and contaminated, besides its own columns."""
     clash = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__row"]
     hit = contamination(docs.select("doc_id", "text"), items, window)
-    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hit_row"), F.col("n_hit").alias("__n_hit"), "item_ids")
+    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hit_row"), F.col("n_hit").alias("__n_hit"), F.col("item_ids").alias("__item_ids"))
     own = docs.drop(*clash).withColumn("__row", F.xxhash64("text"))
     counted = own.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
     both = counted.join(hit, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__hit_row")), "left")
     n_hit = F.coalesce("__n_hit", F.lit(0))
     return both.select(
-        *own.drop("__row").columns, "n_words", n_hit.alias("n_hit"), F.when(F.col("item_ids").isNull(), 0).otherwise(F.size("item_ids")).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.coalesce("item_ids", F.array().cast("array<string>"))), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *own.drop("__row").columns, "n_words", n_hit.alias("n_hit"), F.when(F.col("__item_ids").isNull(), 0).otherwise(F.size("__item_ids")).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.coalesce("__item_ids", F.array().cast("array<string>"))), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
 
 

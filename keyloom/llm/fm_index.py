@@ -1,30 +1,33 @@
-"""Substring deduplication of words with an FM-index for each shard.
+"""Substring deduplication of words with an FM-index for each block of a shard.
 
-A shard's index is the Burrows-Wheeler transform of its fragments in a wavelet tree of packed bit vectors with block counts, and
-marks where suffixes cease to agree on a window's words. Fragments stream through it by backward search: each step extends the
-interval of the words matched so far; once it is as deep as a window it is cut back to a window's depth, so the matching statistics
-never lapse and each window's interval of occurrences is reported.
+The index is the Burrows-Wheeler transform of the indexed contents in a wavelet tree of packed bit vectors with block counts,
+with a sampled suffix array. Contents stream through it by backward search: each step extends the interval of the rows that start with the words matched so far. At a
+window's depth the interval is reported, and cut back by its last word, so that the next step asks for the next window. Where an interval
+runs empty, the match loses its last word and is searched again. Intervals of several equal windows, and those of one word less, are
+marked with their bounds; the former also with the place that occurs first.
 
 Defined cases: null text has no words; texts shorter than a window are kept whole; repeats within one document count for nothing; rows
-of a repeated doc_id are one document with several texts, each judged against smaller ids; rows without doc_id are left out; extra
-columns are ignored; an empty table gives no rows.
+of a repeated doc_id are one document with several texts, each judged against smaller ids, and equal rows have equal results; a null
+doc_id counts as the greatest; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyloom.llm.repeats import FAR, Rule, Symbols, cover_mask, earliest, marked, suffix_order
-from keyloom.llm.text import Texts, buffers, chunks, hash_runs, hash_words, identified, words
+from keyloom.llm.repeats import Firsts, Rule, Symbols, cover_mask, laid_out, marked, suffix_order, text_of, window_ranks
+from keyloom.llm.text import Texts, chunks, hash_runs, hash_words, keyed, words
 from keyloom.sources.tables import read_table
 
 WINDOW = 13
 GRAM = 5
+#: Every so many places of the suffix array are kept.
+SAMPLE = 16
 
 
 class Bits:
@@ -34,7 +37,7 @@ class Bits:
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words).astype(np.int64))]
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words).astype(np.int64))].astype(np.int32)
         self.zeros = len(bits) - int(self.before[-1])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
@@ -42,12 +45,20 @@ class Bits:
         w = i >> 6
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
 
 class WaveletTree:
     """Symbol counts in prefixes of a sequence, one bit vector for each bit of a symbol."""
 
-    def __init__(self, symbols: np.ndarray):
-        self.depth = max(1, int(symbols.max(initial=1)).bit_length())
+    def __init__(self, symbols: np.ndarray, most: int):
+        """`most` is the greatest symbol that is asked for."""
+        self.depth = max(1, most.bit_length())
         self.levels = []
         for b in reversed(range(self.depth)):
             bit = (symbols >> b) & 1
@@ -63,66 +74,102 @@ class WaveletTree:
             begin, i = np.where(one, level.zeros + p, begin - p), np.where(one, level.zeros + q, i - q)
         return i - begin
 
+    def at(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at i, and how often it is before i."""
+        begin, symbol = np.zeros_like(i), np.zeros_like(i)
+        for level in self.levels:
+            one = level.at(i)
+            p, q = level.rank(begin), level.rank(i)
+            begin, i = np.where(one, level.zeros + p, begin - p), np.where(one, level.zeros + q, i - q)
+            symbol = 2 * symbol + one
+        return symbol, i - begin
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.levels)
+
 
 class FmIndex:
-    """Over sequences of symbols 1.. with `ends` (exclusive) in one array; each sequence ends with a sign of its own."""
-
-    def __init__(self, text: np.ndarray, ends: np.ndarray, window: int):
-        sizes = np.diff(np.r_[0, ends])
-        n = len(text) + len(ends)
-        self.at = np.r_[0, np.cumsum(sizes + 1)]
-        full = np.zeros(n, np.int64)
-        own = np.ones(n, bool)
-        own[self.at[1:] - 1] = False
-        full[own] = text
-        self.sa, differs = suffix_order(full, window)
-        bwt = full[self.sa - 1]
-        self.tree = WaveletTree(bwt)
-        counts = np.bincount(full)
-        self.below = np.r_[0, np.cumsum(counts)]
-        self.starts = np.flatnonzero(differs)
-        self.group = np.cumsum(differs) - 1
-        self.full, self.size = full, n
-
-    def extend(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """The first suffix of those that start with `symbol` and go on as the suffixes from `low`."""
-        return self.below[symbol] + self.tree.rank(symbol, low)
-
-
-def stream(index, window: int) -> np.ndarray:
-    """Streams the sequences backward through an index; for each place of the index's text that starts a window, the number of the
-    interval of its occurrences, -1 elsewhere. An interval is the suffixes that agree on the window.
-
-    Backward search keeps the lower end of the interval; the marks give the upper end at a window's depth, and cut back to it.
-    """
-    sizes = np.diff(index.at) - 1
-    order = np.argsort(-sizes, kind="stable")
-    long, end = sizes[order], (index.at[1:] - 2)[order]
-    short, low = -long, np.zeros(len(long), np.int64)
-    found = np.full(index.size, -1, np.int64)
-    for t in range(int(long[0]) if len(long) else 0):
-        k = int(np.searchsorted(short, -t, "left"))
-        place = end[:k] - t
-        lo = index.extend(index.full[place], low[:k])
-        if t + 1 >= window:
-            g = index.group[lo]
-            found[place] = g
-            lo = index.starts[g]
-        low[:k] = lo
-    return found
-
-
-def first_by_interval(index, doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the n windows of each sequence, the first occurrence (document, start) in the index, one after the other, with bounds."""
-    found = stream(index, window)
-    at = np.r_[0, np.cumsum(n)]
-    inner = np.arange(at[-1]) - np.repeat(at[:-1], n)
-    group = found[np.repeat(index.at[:-1], n) + inner]
-    rank, order = earliest(np.repeat(doc, n), np.repeat(start, n) + inner)
-    best = np.full(len(index.starts), FAR)
-    np.minimum.at(best, group, rank)
-    won = order[best[group]]
-    return np.repeat(doc, n)[won], (np.repeat(start, n) + inner)[won], at
+    """Over sequences of symbols 1.. to `symbols`, laid out with 0 after each."""
+
+    def __init__(self, full: np.ndarray, window: int, rank: np.ndarray, symbols: int):
+        longest = int(np.diff(np.r_[-1, np.flatnonzero(full == 0)]).max())
+        order, (shorter, differs) = suffix_order(full, max(longest, window), (window - 1, window))
+        self.window, self.size = window, len(full)
+        self.firsts = Firsts(order, differs, rank)
+        self.tree = WaveletTree(full[order - 1], symbols)
+        self.below = np.r_[0, np.cumsum(np.bincount(full, minlength=symbols + 1))].astype(np.int32)
+        start = np.flatnonzero(shorter)
+        end = np.r_[start[1:], len(order)]
+        self.start, self.end = (x[end - start > 1].astype(np.int32) for x in (start, end))
+        # the suffix array, sampled at every SAMPLE-th place and where sequences begin
+        sampled = (order % SAMPLE == 0) | (full[order - 1] == 0)
+        self.sampled, self.places = Bits(sampled.astype(np.uint8)), order[sampled].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.firsts.nbytes + self.tree.nbytes + sum(x.nbytes for x in (self.sampled, self.places, self.below, self.start, self.end))
+
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of rows that start with `symbol` and go on as those from `low` to `high`."""
+        both = self.tree.rank(np.r_[symbol, symbol], np.r_[low, high]) + np.r_[self.below[symbol], self.below[symbol]]
+        return both[: len(low)], both[len(low) :]
+
+    def shortened(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of a window's words, as those of all but the last of them."""
+        if not len(self.start):
+            return low, high
+        k = np.maximum(np.searchsorted(self.start, low, "right") - 1, 0)
+        inside = (self.start[k] <= low) & (low < self.end[k])
+        return np.where(inside, self.start[k], low), np.where(inside, self.end[k], high)
+
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """The places of rows: steps back through the text to a sampled one."""
+        out, steps, on = np.zeros(len(row), np.int64), 0, np.arange(len(row))
+        while len(on):
+            known = self.sampled.at(row)
+            out[on[known]] = self.places[self.sampled.rank(row[known])] + steps
+            on, row, steps = on[~known], row[~known], steps + 1
+            symbol, before = self.tree.at(row)
+            row = self.below[symbol] + before
+        return out
+
+    def first(self, low: np.ndarray) -> np.ndarray:
+        """Where the window of an interval occurs first: marked if it is there several times."""
+        out = self.firsts(low, np.full(len(low), -1))
+        alone = np.flatnonzero(out < 0)
+        out[alone] = self.locate(low[alone])
+        return out
+
+    def intervals(self, other: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Streams sequences (laid out, beginning at `at`) backward: for each place the lower end of the interval of the window that starts
+        there, -1 if it doesn't occur, and the length of the longest match that starts there, up to a window."""
+        found, length = np.full(len(other), -1), np.zeros(len(other), np.int32)
+        begin, upto = at[:-1].copy(), at[1:] - 1  # matches are other[i + 1:upto]
+        i = upto - 1
+        low, high = np.zeros(len(i), np.int64), np.full(len(i), self.size)
+        while True:
+            on = i >= begin
+            if not on.all():
+                begin, upto, i, low, high = (x[on] for x in (begin, upto, i, low, high))
+            if not len(i):
+                return found, length
+            full = np.flatnonzero(upto - i - 1 == self.window)
+            if len(full):
+                low[full], high[full] = self.shortened(low[full], high[full])
+                upto[full] -= 1
+            a, b = self.extend(other[i], low, high)
+            some = a < b
+            hit, miss = np.flatnonzero(some), np.flatnonzero(~some)
+            low[hit], high[hit] = a[hit], b[hit]
+            length[i[hit]] = np.maximum(length[i[hit]], upto[hit] - i[hit])
+            whole = hit[upto[hit] - i[hit] == self.window]
+            found[i[whole]] = low[whole]
+            i[hit] -= 1
+            # an empty interval: the words up to the last but one, anew; a word that the text lacks is left behind
+            upto[miss] = np.maximum(upto[miss] - 1, i[miss])
+            i[miss] = upto[miss] - 1
+            low[miss], high[miss] = 0, self.size
 
 
 def read_words(t: Texts) -> Symbols:
@@ -136,15 +183,25 @@ def read_words(t: Texts) -> Symbols:
         raw = t.data[w.start[a] : w.end[a + n - 1]].tobytes()
         return b" ".join(raw.split())
 
-    return Symbols(w.first, grams, content)
+    return Symbols(w.first, h, grams, content)
 
 
-def search_words(content: pa.Array, doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple:
-    at, data = buffers(content)
-    t = Texts(np.arange(len(content)), data, at)
+def search_words(indexed: list[bytes], streamed: list[bytes], n: np.ndarray, m: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """For each of the m windows of each streamed content, the indexed window (of n of each) that occurs first, or -1."""
+    t = text_of([*indexed, *streamed])
     w = words(t)
     symbol = np.unique(hash_words(t, w), return_inverse=True)[1].reshape(-1) + 1
-    return first_by_interval(FmIndex(symbol, w.first[1:], window), doc, start, n, window)
+    each = np.split(symbol, w.first[1:-1])
+    full, at = laid_out(each[: len(indexed)])
+    number, ranks = window_ranks(at, n, rank)
+    index = FmIndex(full, window, ranks, int(symbol.max()))
+    other, to = laid_out(each[len(indexed) :])
+    low = index.intervals(other, to)[0]
+    asked = low[np.repeat(to[:-1], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+    out = np.full(len(asked), -1)
+    hit = np.flatnonzero(asked >= 0)
+    out[hit] = number[index.first(asked[hit])]
+    return out
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -152,19 +209,18 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cover, i = b.column("cover"), 0
+            ids, cover = b.column("doc_id"), b.column("cover")
             for t in chunks(b):
                 w = words(t)
                 n, gone, kept = np.diff(w.first), [], []
-                for j in range(len(t)):
-                    mask = cover_mask(cover[i + j], int(n[j]))
+                for j, row in enumerate(t.ids):
+                    mask = cover_mask(cover[int(row)], int(n[j]))
                     gone.append(int(mask.sum()))
                     kept.append(joined(t, w, j, mask))
-                i += len(t)
-                yield pa.record_batch({"doc_id": t.ids, "n_words": n.astype(np.int64), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.large_binary()).cast(pa.binary())})
+                yield pa.record_batch({"doc_id": ids.take(pa.array(t.ids)), "n_words": n.astype(np.int64), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.large_binary()).cast(pa.binary())})
 
     rule = Rule(window, GRAM, read_words, search_words, same_document=False)
-    return marked(identified(docs), rule).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return marked(keyed(docs), rule).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def joined(t: Texts, w, j: int, gone: np.ndarray) -> bytes:
@@ -180,7 +236,5 @@ def joined(t: Texts, w, j: int, gone: np.ndarray) -> bytes:
 
 
 def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     done = deduplicate(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -12,8 +12,9 @@ the members are first tied to a few pivots; only where a group still holds sever
 and only across components. Equal sets are one point throughout, so copies cost nothing.
 
 Defined cases: null or empty text, or text of separators, has an empty set and no link; fewer than k words make one
-shingle of the whole sequence; equal sets are linked; rows of a repeated doc_id are judged each by its own text; rows
-without doc_id are left out; extra columns are ignored; an empty table gives no rows.
+shingle of the whole sequence; equal sets are linked; rows of a repeated doc_id are judged each by its own text; a null
+doc_id comes after all others, and is the component_id, null, only of rows that reach no other; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, keep, release, undeal
+from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, keep, undeal
 from keyloom.llm.components import components, forest
-from keyloom.llm.text import chunks, identified, mix, shingle_sets
+from keyloom.llm.text import NO_ID, chunks, keyed, mix, shingle_sets
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
 
 #: A shingle in this many sets is frequent; a group of this many sets is large.
@@ -38,8 +40,8 @@ FREQUENT_LIMIT = 1 << 20
 COUNTED = 1.2
 FLUSH = 400_000
 POSTING = np.dtype([("token", np.uint64), ("set", np.uint64), ("n", np.uint32)])
-TOKEN = np.dtype([("token", np.uint64)])
-ROW = np.dtype([("set", np.uint64), ("n", np.uint64), ("doc_id", np.int64)])
+TOKEN = np.dtype([("token", np.uint64), ("sets", np.uint32)])
+ROW = np.dtype([("set", np.uint64), ("n", np.uint64), ("doc", np.int64), ("tag", np.int64)])
 
 
 def set_id(s: np.ndarray) -> int:
@@ -104,24 +106,28 @@ class CountTree:
 
 
 def survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One pass: rows (kind 0, shingle, number of sets) of shingles in FREQUENT sets or more among those of low hash,
-    and (kind 1, set, n, doc_id) for each document; `set` names its set, 0 if empty."""
+    """One pass: rows (kind 0, shingle, number of sets) of shingles in FREQUENT sets or more among those of low hash, and (kind 1, set, n,
+    doc, tag) for each document; `set` names its set, 0 if empty. Shingles are counted in each batch before they are dealt."""
     buckets, top = bucket_count(docs), np.uint64(int(min(1.0, COUNTED * (100 - percent) / 100) * 2**64) - 1)
 
     def pack(held: list, rows: list) -> pa.RecordBatch:
-        h = np.concatenate(held)
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        counted = np.zeros(len(h), TOKEN)
+        counted["token"], counted["sets"] = h, c
         d = np.concatenate(rows)
-        a, b = deal(h.view(TOKEN), h, buckets), deal(d, mix(d["set"]), buckets)
+        a, b = deal(counted, h, buckets), deal(d, mix(d["set"]) ^ mix(d["doc"].view(np.uint64)), buckets)
         none = lambda x: pa.nulls(x.num_rows, pa.binary())
         return pa.record_batch({"bucket": pa.concat_arrays([a.column(0), b.column(0)]), "blob": pa.concat_arrays([a.column(1), none(b)]), "rows": pa.concat_arrays([none(a), b.column(1)])})
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size, seen = [], [], 0, set()
         for b in batches:
+            docs_of, tags = b.column("doc").to_numpy(), b.column("tag").to_numpy()
             for t in chunks(b):
-                r = np.empty(len(t), ROW)
+                r = np.zeros(len(t), ROW)
+                r["doc"], r["tag"] = docs_of[t.ids], tags[t.ids]
                 for i, s in enumerate(shingle_sets(t, k)):
-                    r[i] = (name := set_id(s)), len(s), t.ids[i]
+                    r["set"][i], r["n"][i] = (name := set_id(s)), len(s)
                     if name and name not in seen:
                         seen.add(name)
                         held.append(s[: np.searchsorted(s, top, "right")])
@@ -134,16 +140,19 @@ def survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pack([np.zeros(0, np.uint64), *held], rows)
 
     def count(table: pa.Table) -> pa.Table:
-        h, c = np.unique(undeal(table.column("blob").drop_null(), TOKEN)["token"], return_counts=True)
+        r = undeal(table.column("blob").drop_null(), TOKEN)
+        h, at = np.unique(r["token"], return_inverse=True)
+        c = np.bincount(at, weights=r["sets"], minlength=len(h)).astype(np.int64)
         h, c = h[c >= FREQUENT], c[c >= FREQUENT]
         r = undeal(table.column("rows").drop_null(), ROW)
+        none = np.zeros(len(h), np.int64)
         return pa.table({
             "kind": np.r_[np.zeros(len(h), np.int32), np.ones(len(r), np.int32)], "a": np.r_[h, r["set"]].view(np.int64),
-            "n": np.r_[c.astype(np.int64), r["n"].astype(np.int64)], "doc_id": np.r_[np.zeros(len(h), np.int64), r["doc_id"]],
+            "n": np.r_[c, r["n"].astype(np.int64)], "doc": np.r_[none, r["doc"]], "tag": np.r_[none, r["tag"]],
         })
 
-    dealt = docs.mapInArrow(out, "bucket int, blob binary, rows binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "kind int, a long, n long, doc_id long")
+    dealt = docs.select("doc", "tag", "text").mapInArrow(out, "bucket int, blob binary, rows binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "kind int, a long, n long, doc long, tag long")
 
 
 def frequent(surveyed: DataFrame) -> np.ndarray:
@@ -224,23 +233,23 @@ def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFram
         kind = np.repeat(np.array([0, 1, 2], np.int32), [len(p), m - len(p), k])
         return pa.table({"kind": kind, "a": a, "b": b, "point": pa.concat_arrays([pa.nulls(m, pa.binary()), *own.column("point").chunks])})
 
-    dealt = docs.mapInArrow(out, "bucket int, blob binary, set long, n long, point binary")
+    dealt = docs.select("text").mapInArrow(out, "bucket int, blob binary, set long, n long, point binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, point binary")
 
 
 def wanted_sets(docs: DataFrame, stands: DataFrame, k: int) -> DataFrame:
-    """(set, members) of the sets in `stands` (set, doc_id), from the document that stands for each."""
+    """(set, members) of the sets in `stands` (set, doc, tag), from the document that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # the join puts equal rows, which stand for one set, side by side
         for b in batches:
-            wanted, i = b.column("set").to_numpy(), 0
+            names = b.column("set").to_pylist()
+            new = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
+            b = b.take(pa.array(new, pa.int64()))
             for t in chunks(b):
-                s = shingle_sets(t, k)
-                right = [j for j in range(len(t)) if np.uint64(set_id(s[j])).view(np.int64) == wanted[i + j]]  # a repeated doc_id has other texts
-                i += len(t)
-                yield pa.record_batch({"set": wanted[i - len(t) : i][right], "members": pa.array([s[j].tobytes() for j in right], pa.binary())})
+                yield pa.record_batch({"set": b.column("set").take(pa.array(t.ids)), "members": pa.array([s.tobytes() for s in shingle_sets(t, k)], pa.binary())})
 
-    return docs.join(stands, "doc_id").select("doc_id", "text", "set").mapInArrow(run, "set long, members binary")
+    return docs.select("doc", "tag", "text").join(stands, ["doc", "tag"]).select("set", "text").mapInArrow(run, "set long, members binary")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -310,16 +319,15 @@ def search_groups(parts: DataFrame, percent: int) -> DataFrame:
     return parts.groupBy("part").applyInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int = 512) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links of similarity percent / 100 or more."""
+def similar_rows(docs: DataFrame, k: int = 5, percent: int = 75, tile: int = 512) -> DataFrame:
+    """(doc, tag, n_shingles, first) of every row, named as `keyed` does: `first` (doc, tag) is the least row reachable by links of similarity
+    percent / 100 or more, null for empty sets."""
     spark = docs.sparkSession
-    docs = identified(docs)
+    docs = keyed(docs)
     surveyed = keep(survey(docs, k, percent), scratch_path(spark, "sets"))
-    release(spark)
-    described = surveyed.filter("kind = 1").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("set"))
-    stands = described.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    described = surveyed.filter("kind = 1").select("doc", "tag", F.col("n").alias("n_shingles"), F.col("a").alias("set"))
+    stands = described.filter("set <> 0").groupBy("set").agg(F.min(F.struct("doc", "tag")).alias("s")).select("set", "s.doc", "s.tag")
     met = keep(groups(docs, k, percent, frequent(surveyed)), scratch_path(spark, "groups"))
-    release(spark)
     large = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set"))
     points = met.filter("kind = 2").select(F.col("a").alias("set"), F.col("b").alias("n"), "point")
     # members of large groups are tied to the group's pivots: those in most large groups, as the source of copies is, with which the
@@ -334,7 +342,6 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     # the bound leaves few sets; their members are read from the texts once, with those of large groups for what follows
     named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(large.select("set")).distinct()
     known = keep(wanted_sets(docs, stands.join(named, "set"), k), scratch_path(spark, "members"))
-    release(spark)
     first = cut_lineage(verified(pairs, known, percent))
     label = cut_lineage(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     now = large.join(label.withColumnRenamed("node", "set"), "set", "left").select("group", "set", F.coalesce("component", "set").alias("label"))
@@ -351,14 +358,30 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int
     parts = asks.union(holds).join(known, "set").withColumn("part", F.xxhash64("pivot", "t")).select("part", "set", "label", "members", "own")
     more = search_groups(parts, percent)
     edges = cut_lineage(first.union(more))
-    release(spark)
     # components of sets, then the smallest document of each
     ends = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "set")
     rooted = stands.join(ends, "set", "left").withColumn("root", F.coalesce("component", "set"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = rooted.select("set", "root").join(least, "root").select("set", "component_id")
-    done = described.join(of, "set", "left")
-    return done.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("first"))
+    of = rooted.select("set", "root").join(least, "root").select("set", "first")
+    return described.join(of, "set", "left").select("doc", "tag", "n_shingles", "first")
+
+
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, tile: int = 512) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links of similarity percent / 100 or more."""
+    known_id = lambda c: F.when(c != int(NO_ID), c)
+    return similar_rows(docs, k, percent, tile).select(known_id(F.col("doc")).alias("doc_id"), "n_shingles", known_id(F.coalesce("first.doc", "doc")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each group of similar rows, that of the smallest doc_id, with all columns; rows without words all stay. Rows of a repeated
+    doc_id are judged each by its own text; of equal rows one stays."""
+    own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn("__tag", F.xxhash64(F.col("text").cast("string")))
+    judged = similar_rows(docs, k, percent).distinct()
+    judged = judged.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("first").isNull().alias("__empty"), (F.col("first") == F.struct("doc", "tag")).alias("__first"))
+    both = own.join(judged.filter("__empty or __first"), ["__doc", "__tag"])
+    # the join has put equal rows side by side
+    turn = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy("__first"))
+    return both.withColumn("__turn", turn).filter("__empty or __turn = 1").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ No table labels spans, so the trees are trained here on EXAMPLES examples made b
 All scans are linear in the text: patterns are anchored where a match must start, or at the sign that a match must hold.
 
 Defined cases: null text is empty; texts without spans have counts 0 and the hash of the empty string; spans count code points, end
-exclusive; repeated rows are judged each; null doc_id is left out; extra columns are ignored; an empty table gives no rows.
+exclusive; repeated rows and rows without doc_id are judged each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK_BYTES = 1 << 21
+#: Stands for a null doc_id, after all others.
+NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
 
@@ -40,7 +42,7 @@ _PLACE = _R.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 @dataclass
 class Texts:
-    """Some documents: `data` holds all bytes; document i has bytes first[i]:first[i + 1]."""
+    """Some documents: `data` holds all bytes; document i has bytes first[i]:first[i + 1] and the place `ids[i]` in its batch."""
 
     ids: np.ndarray
     data: np.ndarray
@@ -64,16 +66,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], data
 
 
-def chunks(batch: pa.RecordBatch, id_column: str = "doc_id", text_column: str = "text", most: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The documents of a batch, some at a time; a text longer than `most` comes alone."""
-    if not batch.num_rows:
-        return
-    ids = batch.column(id_column).to_numpy(zero_copy_only=False).astype(np.int64)
-    at, data = buffers(batch.column(text_column))
+def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[Texts]:
+    """The texts of a batch, some at a time, with their place in the batch as id; a text longer than `most` comes alone."""
+    at, data = buffers(batch.column("text"))
     i = 0
-    while i < len(ids):
+    while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        yield Texts(ids[i:j], data[at[i] : at[j]], at[i : j + 1] - at[i])
+        yield Texts(np.arange(i, j), data[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
 
 
@@ -152,5 +151,10 @@ def shingle_sets(t: Texts, k: int = 5) -> list[np.ndarray]:
 
 
 def identified(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id as long, text and `more` of the rows that have a doc_id; other columns are pruned at the scan."""
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    """doc_id as long, text and `more` of every row; other columns are pruned at the scan."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, tag, text) of every row: `doc` (NO_ID for null) and `tag`, a hash of the text, name it. Equal rows share a name."""
+    return identified(docs).select("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc"), F.xxhash64("text").alias("tag"), "text")

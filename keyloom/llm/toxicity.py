@@ -9,8 +9,8 @@ proportions. Words with a marginal of 1/2 or more are the offending offsets.
 Bounds: the sample has at most TRAIN_DOCS documents of each label and of TRAIN_CHARS characters or fewer; scores cover whole texts.
 
 Defined cases: null and empty texts are scored with no words; labels that are null are left out, of several for a document the
-largest counts; with one class or none to learn from, every score is that class's rate (0 without labels); repeated rows are scored
-each; null doc_id is left out; extra columns are ignored; an empty table gives no rows.
+largest counts; with one class or none to learn from, every score is that class's rate (0 without labels); repeated rows and rows without
+doc_id are scored each, and the latter are not held out and never learned from; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -194,26 +194,33 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Crf:
     named = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(may_learn)
     size = {int(r[0]): r[1] for r in named.groupBy("toxic").count().collect()}
     order = F.md5(F.concat(F.lit("crf:"), F.col("doc_id").cast("string")))
-    pool = None
+    short = identified(docs).filter("doc_id is not null").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    drawn, pool = named.join(short.select("doc_id"), "doc_id", "left_semi"), None
     for c in (1, 0):
-        some = named.filter(F.col("toxic") == c).orderBy(order).limit(TRAIN_DOCS)
+        some = drawn.filter(F.col("toxic") == c).orderBy(order).limit(TRAIN_DOCS)
         pool = some if pool is None else pool.union(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column("toxic").to_numpy()
-            i = 0
             for t in chunks(b):
                 x, first, _, _ = tokens(t)
-                yield pa.record_batch({"doc_id": t.ids, "toxic": y[i : i + len(t)], "words": pa.array([x[first[j] : first[j + 1]].astype(np.uint32).tobytes() for j in range(len(t))], pa.binary())})
-                i += len(t)
+                at = pa.array(t.ids)
+                yield pa.record_batch({"doc_id": b.column("doc_id").take(at), "toxic": b.column("toxic").take(at), "words": pa.array([x[first[j] : first[j + 1]].astype(np.uint32).tobytes() for j in range(len(t))], pa.binary())})
 
-    short = identified(docs).filter(F.length("text") <= TRAIN_CHARS)
-    rows = short.join(F.broadcast(pool), "doc_id").mapInArrow(run, "doc_id long, toxic int, words binary").toArrow().sort_by("doc_id")
-    y = rows.column("toxic").to_numpy().astype(int)
-    found = np.bincount(y, minlength=2)
-    weight = np.array([size.get(int(c), 0) / max(1, found[c]) for c in y]) if len(y) else np.zeros(0)
-    return fit([np.frombuffer(w.as_buffer(), np.uint32).reshape(-1, 1 + len(PREFIXES)) for w in rows.column("words")], y, weight)
+    def fitted(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("words", "ascending")])
+        y = rows.column("toxic").to_numpy().astype(int)
+        weight = np.array([size.get(int(c), 0) for c in y]) / np.maximum(1, np.bincount(y, minlength=2))[y]
+        crf = fit([np.frombuffer(w.as_buffer(), np.uint32).reshape(-1, 1 + len(PREFIXES)) for w in rows.column("words")], y, weight)
+        return pa.table({"emit": pa.array([crf.emit.astype(np.float32).tobytes()], pa.binary()), "rest": pa.array([np.r_[crf.trans.ravel(), crf.start, crf.doc].tobytes()], pa.binary())})
+
+    rows = short.join(F.broadcast(pool), "doc_id").mapInArrow(run, "doc_id long, toxic int, words binary")
+    # the sample is bounded, so one task fits it; the model alone comes to the driver
+    model = rows.groupBy(F.lit(0)).applyInArrow(lambda t: fitted(t.select(["doc_id", "toxic", "words"])), "emit binary, rest binary").collect()
+    if not model:
+        return fit([], np.zeros(0, int), np.zeros(0))
+    rest = np.frombuffer(model[0].rest)
+    return Crf(np.frombuffer(model[0].emit, np.float32).astype(float), rest[:4].reshape(2, 2), float(rest[4]), rest[5:])
 
 
 def score(docs: DataFrame, model: Crf) -> DataFrame:
@@ -240,7 +247,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
                         line.append({"start": n, "end": n + size})
                         n, prev = n + size, q
                     out.append(line)
-                yield pa.record_batch({"doc_id": t.ids, "score": crf.score(features(m, first)), "spans": pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+                yield pa.record_batch({"doc_id": b.column("doc_id").take(pa.array(t.ids)), "score": crf.score(features(m, first)), "spans": pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     return identified(docs).mapInArrow(run, "doc_id long, score double, spans array<struct<start: bigint, end: bigint>>")
 
@@ -253,8 +260,7 @@ def keep_clean(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> Dat
         crf = shared.value
         for b in batches:
             scores = [np.zeros(0)]
-            numbered = pa.record_batch({"at": np.arange(b.num_rows), "text": b.column("text")})
-            for t in chunks(numbered, "at"):
+            for t in chunks(b):
                 x, first, _, _ = tokens(t)
                 scores.append(crf.score(features(marginals(crf.emit[x].sum(axis=1), first, crf.trans, crf.start), first)))
             yield b.filter(pa.array(np.concatenate(scores) < threshold))
@@ -263,7 +269,7 @@ def keep_clean(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> Dat
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

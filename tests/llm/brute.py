@@ -1,14 +1,26 @@
-"""Plain versions of the operators, for small inputs."""
+"""Plain versions of the operators, for small inputs. Documents are rows (doc_id, text); results are lists of one tuple a row, doc_id first.
+A null doc_id comes after all others."""
 
+import hashlib
 import re
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LAST = 2**63 - 1
 
 
 def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
+def sha(data):
+    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def known(i):
+    return LAST if i is None else i
+
+
 def roots(nodes, edges):
     parent = {n: n for n in nodes}
 
@@ -29,35 +41,37 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def ngram_join(docs):
-    sets = [(i, frozenset(shingles(t))) for i, t in docs]
-    where, edges = {}, set()
-    for i, s in sets:
+def similar(docs):
+    """The root row of each row, rows by their order of doc_id."""
+    sets = [frozenset(shingles(t)) for _, t in docs]
+    where, edges = defaultdict(list), set()
+    for i, s in enumerate(sets):
         for x in s:
-            where.setdefault(x, []).append(i)
-    by = dict(sets)
-    from collections import Counter
-
-    for i, s in sets:
+            where[x].append(i)
         for j, n in Counter(j for x in s for j in where[x] if j < i).items():
-            if 100 * n >= 75 * (len(s) + len(by[j]) - n):
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
                 edges.add((i, j))
-    root = roots(by, edges)
-    return {i: (len(s), root[i]) for i, s in sets}
+    return sets, roots(range(len(docs)), edges)
 
 
-def items_hits(docs, items, window=13):
-    import hashlib
+def ngram_join(docs):
+    sets, root = similar(docs)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[root[i]] = min(least.get(root[i], LAST), known(d))
+    return [(d, len(sets[i]), None if least[root[i]] == LAST else least[root[i]]) for i, (d, _) in enumerate(docs)]
+
 
+def items_hits(docs, items, window=13):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     phrases = {}
     for item, text in items:
         w = tuple(word.findall(lower(text or "")))
         k = min(window, len(w))
-        for i in range(len(w) - k + 1) if w else ():
+        for i in range(len(w) - k + 1) if w and item is not None else ():
             phrases.setdefault(w[i : i + k], set()).add(str(item))
     sizes = {len(p) for p in phrases}
-    out = {}
+    out = []
     for doc, text in docs:
         w = tuple(word.findall(lower(text or "")))
         hit, found = set(), set()
@@ -66,7 +80,7 @@ def items_hits(docs, items, window=13):
                 if p := phrases.get(w[i : i + k]):
                     hit.update(range(i, i + k))
                     found |= p
-        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
@@ -89,39 +103,36 @@ def pii(text):
 
 
 def word_repeats(docs, window=13):
-    import hashlib
-
-    first, out = {}, {}
-    split = {i: WORD.findall(t or "") for i, t in docs}
-    for i, w in split.items():
+    split = [WORD.findall(t or "") for _, t in docs]
+    first, out = {}, []
+    for (d, _), w in zip(docs, split, strict=True):
         for j in range(len(w) - window + 1):
             k = tuple(w[j : j + window])
-            first[k] = min(first.get(k, i), i)
-    for i, w in split.items():
+            first[k] = min(first.get(k, LAST), known(d))
+    for (d, _), w in zip(docs, split, strict=True):
         gone = set()
         for j in range(len(w) - window + 1):
-            if first[tuple(w[j : j + window])] < i:
+            if first[tuple(w[j : j + window])] < known(d):
                 gone.update(range(j, j + window))
-        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+        out.append((d, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return out
 
 
 def byte_repeats(docs, window=100):
-    import hashlib
-
-    first, out = {}, {}
-    docs = sorted((i, (t or "").encode()) for i, t in docs)
-    for i, t in docs:
+    raw = [(t or "").encode() for _, t in docs]
+    first, out = {}, []
+    for (d, _), t in zip(docs, raw, strict=True):
         for j in range(len(t) - window + 1):
-            first.setdefault(t[j : j + window], (i, j))
-    for i, t in docs:
+            k = t[j : j + window]
+            first[k] = min(first.get(k, (LAST, LAST)), (known(d), j))
+    for (d, _), t in zip(docs, raw, strict=True):
         gone = bytearray(len(t))
         upto = 0
         for j in range(len(t) - window + 1):
-            if first[t[j : j + window]] != (i, j):
+            if first[t[j : j + window]] < (known(d), j):
                 for k in range(max(j, upto), j + window):
                     gone[k] = 1
                 upto = j + window
         spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(t)))
-        out[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(c for k, c in enumerate(t) if not gone[k])).hexdigest())
+        out.append((d, len(t), sum(gone), spans, sha(bytes(c for k, c in enumerate(t) if not gone[k]))))
     return out

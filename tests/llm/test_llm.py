@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, embeddings, fm_index, mixing, ngram_join, pii, registry, run_index, sharding, toxicity, warc
+from keyloom.llm import decontaminate, embeddings, fm_index, mixing, ngram_join, pii, registry, repeats, run_index, sharding, toxicity, warc
 from keyloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -40,12 +40,21 @@ def awkward():
     return list(enumerate(texts, 10))
 
 
+def repeated():
+    """`awkward`, with rows of a repeated doc_id (other texts, and equal rows) and rows without doc_id."""
+    texts = awkward()
+    by = dict(texts)
+    a, b = by[22], by[30]
+    return [*texts, (12, a), (40, "other " + b), (40, by[40]), (30, b), (30, b), (5, by[17]), (5, by[18]), (None, a), (None, a), (None, by[35]), (None, "new words here " + a), (None, None), (11, None)]
+
+
 def rows(df, key="doc_id"):
-    out = {}
-    for r in df.collect():
-        assert r[key] not in out
-        out[r[key]] = tuple(v for c, v in r.asDict().items() if c != key)
-    return out
+    """A tuple a row, the key first; None and NaN order last."""
+    return ordered((r[key], *(v for c, v in r.asDict().items() if c != key)) for r in df.collect())
+
+
+def ordered(x):
+    return sorted(map(tuple, x), key=lambda r: tuple((v is None, str(type(v)), v) if v is not None else (True, "", 0) for v in r))
 
 
 CASES = {
@@ -58,12 +67,11 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_against_brute_force(spark, name):
     run, want = CASES[name]
-    texts = awkward()
-    assert rows(run(frame(spark, texts))) == want(texts)
+    texts = repeated()
+    assert rows(run(frame(spark, texts))) == ordered(want(texts))
     docs = [(r["doc_id"], r["text"]) for r in table("documents")]
-    assert rows(run(spark.read.parquet(f"{SF}/documents.parquet"))) == want(docs)
+    assert rows(run(spark.read.parquet(f"{SF}/documents.parquet"))) == ordered(want(docs))
     assert run(frame(spark, texts).limit(0)).count() == 0
-    assert run(frame(spark, [(None, "x y z"), (1, "x y z")])).count() == 1
 
 
 def test_short_repetitive_passages(spark):
@@ -75,7 +83,56 @@ def test_short_repetitive_passages(spark):
             fill = [f"f{d}y{i}" for i in range(256 - len(passage))]
             texts.append((d, " ".join(fill[:at] + passage + fill[at:])))
     run, want = CASES["op5"]
-    assert rows(run(frame(spark, texts))) == want(texts)
+    assert rows(run(frame(spark, texts))) == ordered(want(texts))
+
+
+def test_fm_index():
+    """Intervals, places and sizes of an index over some texts, against plain search; sequences from outside end their matches early."""
+    r = np.random.default_rng(8)
+    texts = [r.integers(1, 40, n) for n in (60, 30, 3, 80)] + [np.r_[r.integers(1, 40, 5), np.arange(1, 30)], np.arange(1, 36)]
+    outside = [np.r_[texts[0][10:30], 99, texts[4][:20]], r.integers(1, 40, 50), np.arange(5, 30), np.array([99, 98])]
+    full, at = repeats.laid_out(texts)
+    n = np.maximum(np.diff(at) - 13, 0)
+    number, ranks = repeats.window_ranks(at, n, np.arange(n.sum()))
+    index = fm_index.FmIndex(full, 13, ranks, 99)
+    other, to = repeats.laid_out(outside)
+    low, length = index.intervals(other, to)
+    runs = run_index.RunIndex(full, 13, ranks)
+    longest, row, place = runs.statistics(other, to)
+    places = {}
+    for i in range(len(full)):
+        for k in range(1, 60):
+            if 0 not in full[i : i + k] and i + k <= len(full):
+                places.setdefault(tuple(full[i : i + k]), i)
+    for i in range(len(other)):
+        best = next((k for k in range(60, 0, -1) if tuple(other[i : i + k]) in places and i + k <= len(other)), 0)
+        assert longest[i] == best and length[i] <= best and (low[i] >= 0) == (best >= 13)
+        if best >= 13:
+            want = places[tuple(other[i : i + 13])]
+            assert index.first(low[i : i + 1])[0] == want == runs.firsts(row[i : i + 1], place[i : i + 1])[0]
+    order = repeats.suffix_order(full, 81)[0]
+    assert (index.locate(np.arange(len(full))) == order).all()
+
+
+def test_index_sizes():
+    """Of a repetitive corpus, the run-length index follows its runs and the FM-index stays near its text."""
+    r = np.random.default_rng(9)
+    base = r.integers(1, 27, 4000)
+    copies = []
+    for _ in range(50):
+        c = base.copy()
+        c[r.integers(0, 4000, 2)] = 27
+        copies.append(c)
+    full, at = repeats.laid_out(copies)
+    n = np.diff(at) - 100
+    ranks = repeats.window_ranks(at, n, np.arange(n.sum()))[1]
+    index = run_index.RunIndex(full, 100, ranks)
+    assert len(index.symbol) < len(full) / 10 and index.nbytes < 3 * len(full)
+    words = (r.zipf(1.3, 100_000) % 20_000 + 1).astype(np.int64)
+    full, at = repeats.laid_out(np.split(words, 100))
+    n = np.diff(at) - 13
+    fm = fm_index.FmIndex(full, 13, repeats.window_ranks(at, n, np.arange(n.sum()))[1], 20_000)
+    assert fm.nbytes < 6 * len(full)  # a word of text takes about so many bytes
 
 
 def test_ngram_large_groups(spark, monkeypatch):
@@ -88,7 +145,21 @@ def test_ngram_large_groups(spark, monkeypatch):
         for _ in range(r.randrange(0, 3)):
             w[r.randrange(60)] = f"v{r.randrange(10**6)}"
         texts.append((i, " ".join(w)))
-    assert rows(ngram_join.similar_components(frame(spark, texts), tile=16)) == brute.ngram_join(texts)
+    assert rows(ngram_join.similar_components(frame(spark, texts), tile=16)) == ordered(brute.ngram_join(texts))
+
+
+def test_keep_first(spark):
+    texts = repeated()
+    sets, root = brute.similar(texts)
+    best = {}
+    for i, (d, _) in enumerate(texts):
+        best[root[i]] = min(best.get(root[i], brute.LAST), brute.known(d))
+    kept = ngram_join.keep_first(frame(spark, texts))
+    assert kept.columns == frame(spark, []).columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(brute.known(d) for d, t in got if brute.shingles(t)) == sorted(best[k] for k in set(root.values()) if sets[k])
+    assert sum(not brute.shingles(t) for _, t in got) == sum(not s for s in sets) and set(got) <= set(texts)
+    assert ngram_join.keep_first(frame(spark, [])).count() == 0
 
 
 def test_count_tree_bounds():
@@ -101,10 +172,11 @@ def test_count_tree_bounds():
         assert {i, i + 100} <= set(tree.search(points[i], int(sizes[i]), 75).tolist())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 19])
+def test_components(spark, at_once):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(80)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long"), at_once=at_once).collect()}
     want = brute.roots({n for e in edges for n in e}, edges)
     assert {k: v for k, v in want.items() if k in got} == got and all(want[k] == k for k in want if k not in got)
 
@@ -226,7 +298,7 @@ def test_embeddings(spark):
     data = [(i, [float(x) for x in np.float32(row)]) for i, row in enumerate(v)]
     data += [(100, None), (101, []), (102, [0.0] * 24), (103, [float("nan")] * 24), (104, [None] + [1.0] * 23), (105, [float("inf")] * 24), (106, [1.0] * 3), (107, [2.0] * 3), (108, [1e-200] * 24), (109, [1e200] * 24)]
     df = spark.createDataFrame([(i, e, "x") for i, e in data], "vec_id long, embedding array<double>, n_links string")
-    got = rows(embeddings.near_duplicates(df), "vec_id")
+    got = {r[0]: r[1:] for r in rows(embeddings.near_duplicates(df), "vec_id")}
     ok = {i: np.array(e) / np.abs(e).max() for i, e in data if i < 100 or i >= 106}
     edges = [(a, b) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.sqrt((ok[a] @ ok[a]) * (ok[b] @ ok[b])) >= 0.9]
     root = brute.roots(dict(data), edges)
@@ -239,7 +311,7 @@ def test_warc(spark, tmp_path):
     pages = [(5, "http://a.b.com/x?y", big), (3, "http://A.b.com:80/", big), (9, None, big), (4, "odd", None), (6, "", ""), (7, "http://c.org/q", "small"), (8, "http://c.org/q", "small"), (None, "u", "z")]
     df = spark.createDataFrame([(i, u, h, 1) for i, u, h in pages], "page_id long, url string, html string, key int")
     folder, captures, files = warc.archive(df, str(tmp_path / "w"))
-    got = rows(warc.fetch(captures.distinct(), folder, files), "page_id")
+    got = {r[0]: r[1:] for r in rows(warc.fetch(captures.distinct(), folder, files), "page_id")}
     for i, _, h in pages[:-1]:
         raw = (h or "").encode()
         assert got[i] == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if h == big and i != 3 else "response", 3 if h == big and i != 3 else None)
@@ -254,7 +326,7 @@ def test_decontamination(spark):
     texts = [*awkward(), (900, "pre " + ", ".join(f"W{i}" for i in range(3, 19)) + " post"), (901, "a short-item HERE."), (902, "w1 w2 w3"), (903, "É x1 é é x1 é"), (904, "w5 " * 3 + " ".join(f"w{i}" for i in range(20)) * 2)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = rows(decontaminate.judge(frame(spark, texts).select("doc_id", "text"), bench).drop("text"))
-    assert got == brute.items_hits(texts, items)
+    assert got == ordered(brute.items_hits(texts, items))
     assert {r.doc_id for r in decontaminate.proximity(frame(spark, texts), ["short", "here"], 3).collect()} == {901}
     assert decontaminate.judge(frame(spark, texts).limit(0), bench).count() == 0
     assert decontaminate.judge(frame(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
@@ -279,8 +351,8 @@ def test_pipeline(spark):
         after = stage(spark, docs, SF).cache()
         assert after.columns == p.COLUMNS and 0 < after.count() <= docs.count(), name
     hit = brute.items_hits([(r["doc_id"], r["text"]) for r in table("documents")], [(r["item_id"], r["text"]) for r in table("benchmark")])
-    assert {r.doc_id for r in p.drop_contaminated(spark, docs, SF).select("doc_id").collect()} == {i for i, v in hit.items() if not v[4]}
+    assert {r.doc_id for r in p.drop_contaminated(spark, docs, SF).select("doc_id").collect()} == {v[0] for v in hit if not v[5]}
     joined = brute.ngram_join([(r["doc_id"], r["text"]) for r in table("documents")])
-    assert {r.doc_id for r in p.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()} == {i for i, v in joined.items() if v[1] == i}
+    assert {r.doc_id for r in p.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()} == {v[0] for v in joined if v[2] == v[0]}
     out = p.run(spark, SF).collect()
     assert len(out) and len({r.doc_id for r in out}) == len(out)
