@@ -216,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Crf:
 
     rows = short.join(F.broadcast(pool), "doc_id").mapInArrow(run, "doc_id long, toxic int, words binary")
     # the sample is bounded, so one task fits it; the model alone comes to the driver
-    model = rows.groupBy(F.lit(0)).applyInArrow(lambda t: fitted(t.select(["doc_id", "toxic", "words"])), "emit binary, rest binary").collect()
+    model = rows.withColumn("one", F.col("toxic") * 0).groupBy("one").applyInArrow(lambda t: fitted(t.drop_columns("one")), "emit binary, rest binary").collect()
     if not model:
         return fit([], np.zeros(0, int), np.zeros(0))
     rest = np.frombuffer(model[0].rest)
