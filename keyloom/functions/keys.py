@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,18 @@ def check_keys(schema: T.StructType, keys: list[str]) -> None:
 
 def same_key(left: Column, right: Column, kind: T.DataType) -> Column:
     """Probe equality: null finds null, NaN finds nothing, -0.0 finds 0.0."""
-    hit = left.eqNullSafe(right)
-    return hit & ~F.coalesce(F.isnan(left), F.lit(False)) if isinstance(kind, (T.DoubleType, T.FloatType)) else hit
+    return left.eqNullSafe(right) & findable(left, kind)
+
+
+def packed_key(columns: Sequence[Column | str]) -> Column:
+    """Key columns as one struct. Structs compare null fields as equal, so plain equality of such keys is null-safe, and an aggregate and
+    a join by it share one shuffle."""
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def findable(probe: Column, kind: T.DataType) -> Column:
+    """Whether a probe can be found at all: NaN can't."""
+    return ~F.coalesce(F.isnan(probe), F.lit(False)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(True)
 
 
 def either_left(value: Column, right_type: T.DataType | str) -> Column:

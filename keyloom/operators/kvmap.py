@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.keys import check_keys, same_key
+from keyloom.functions.keys import check_keys, findable, packed_key, same_key
 from keyloom.sources.tables import empty_frame
 
 
@@ -33,11 +33,12 @@ def merge_runs(runs: Sequence[DataFrame], keys: Sequence[str], values: Sequence[
 
 
 def merge_join(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """`merge_runs` of two runs as one full outer join, for runs that are already partitioned by key."""
-    pack = lambda df, name: df.select(*keys, F.struct(*[F.col(v) for v in values]).alias(name))
-    both = pack(left, "__l").join(pack(right, "__r"), list(keys), "full_outer")
+    """`merge_runs` of two runs as one full outer join. Null keys meet, and so do NaN keys, as in `merge_runs`."""
+    pack = lambda df, name: df.select(packed_key(keys).alias("__key"), F.struct(*[F.col(v) for v in values]).alias(name))
+    both = pack(left, "__l").join(pack(right, "__r"), "__key", "full_outer")
     # the structs are coalesced, not the values: a null under a present key wins
-    return both.select(*keys, F.coalesce("__l", "__r").alias("__w")).select(*keys, *[F.col("__w")[v].alias(v) for v in values])
+    won = both.select("__key", F.coalesce("__l", "__r").alias("__w"))
+    return won.select(*[F.col("__key")[f"k{i}"].alias(k) for i, k in enumerate(keys)], *[F.col("__w")[v].alias(v) for v in values])
 
 
 class KVMap:
@@ -57,6 +58,11 @@ class KVMap:
 
     from_rows = classmethod(lambda cls, df, keys, order, values=None: cls(df, keys, order, values))
 
+    @classmethod
+    def by_order(cls, df: DataFrame, sort_key: Column, order: Sequence[str], name: str = "sort_key") -> KVMap:
+        """A map under an order of the user's own: `sort_key` (computed up front, as column `name`) orders keys and tells which are equal."""
+        return cls(df.withColumn(name, sort_key), [name], order)
+
     def insert(self, rows: DataFrame) -> KVMap:
         """The map with `rows` written after; this map stays as it was."""
         return KVMap(self.log.unionByName(rows.select(*self.log.columns)), self.keys, self.order, self.values)
@@ -79,10 +85,16 @@ class KVMap:
         return latest(self.log.filter(hit), self.keys, self.order, self.values)
 
     def lookup_many(self, probes: DataFrame, on: Sequence[str]) -> DataFrame:
-        """Every probe row with `found` and the values; Catalyst picks broadcast or sort-merge by size."""
-        packed = self.view().select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)], F.struct(F.lit(1).alias("__hit"), *self.values).alias("__v"))
-        kinds = self.log.schema
-        rule = reduce(Column.__and__, [same_key(probes[p], packed[f"__k{i}"], kinds[k].dataType) for i, (p, k) in enumerate(zip(on, self.keys, strict=True))])
+        """Every probe row with `found` and the values; Catalyst picks broadcast or sort-merge by size. The view is shuffled once, by the
+        packed key, for the aggregate and the join."""
+        kinds = [self.log.schema[k].dataType for k in self.keys]
+        types = [probes.schema[p].dataType for p in on]
+        if types != kinds:  # structs of different types don't compare; keys and probes meet in the types that Spark gives both
+            kinds = [probes.limit(0).select(p).union(self.log.limit(0).select(k)).schema[0].dataType for p, k in zip(on, self.keys, strict=True)]
+        log = self.log.select(packed_key([F.col(k).cast(t) for k, t in zip(self.keys, kinds, strict=True)]).alias("__key"), *self.values, *self.order)
+        packed = latest(log, ["__key"], self.order, self.values).select("__key", F.struct(F.lit(1).alias("__hit"), *self.values).alias("__v"))
+        probe = packed_key([probes[p].cast(t) for p, t in zip(on, kinds, strict=True)])
+        rule = reduce(Column.__and__, [probe == packed["__key"], *[findable(probes[p], t) for p, t in zip(on, types, strict=True)]])
         joined = probes.join(packed, rule, "left")
         return joined.select(*[probes[c] for c in probes.columns], F.col("__v").isNotNull().alias("found"), *[F.col("__v")[v].alias(v) for v in self.values])
 

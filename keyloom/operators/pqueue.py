@@ -20,9 +20,13 @@ def find_min(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 
 
 def delete_min(df: DataFrame, order: Sequence[Column | str], pops: int = 1, k: int | None = None) -> DataFrame:
-    """The queue after `pops` pops; with `k`, its k least rows, which each task bounds at pops + k."""
-    rest = df.orderBy(*order).offset(pops)
-    return rest if k is None else rest.limit(k)
+    """The queue after `pops` pops; with `k`, its k least rows in order, which each task bounds at pops + k. Without `k` the rows stay where
+    they are: those after the last one popped, found by a top-k, so no task sorts or holds the queue. `order` are then names of columns,
+    ascending, nulls first."""
+    if k is not None:
+        return df.orderBy(*order).offset(pops).limit(k)
+    last = top_k(df, order, pops).agg(F.max(F.struct(*order)).alias("__last"))
+    return df.join(F.broadcast(last), F.struct(*order) > F.col("__last")).drop("__last") if pops else df  # of one row
 
 
 def update_min(df: DataFrame, new: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
@@ -35,5 +39,10 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def is_null(df: DataFrame) -> DataFrame:
+    """One row; one input row is enough to answer."""
+    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_null"))
+
+
 def length(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("length"))

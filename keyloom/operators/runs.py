@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.kvmap import merge_runs
@@ -14,6 +14,11 @@ def shape(df: DataFrame, run: str) -> DataFrame:
     return df.groupBy(run).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def over_half(newer: Column, older: Column) -> Column:
+    """`should_merge` over columns."""
+    return newer > F.floor(older / 2)
+
+
 def should_merge(newer: int, older: int) -> bool:
     """A newer run is merged once it is over half the size of the next older one."""
     return newer > older // 2

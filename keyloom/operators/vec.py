@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keyloom.functions.keys import findable
 
 
 def length(v: Column) -> Column:
@@ -48,10 +51,35 @@ def unzip_b(pairs: Column) -> Column:
 
 def to_complex(v: Column) -> Column:
     """Even elements as real parts, odd ones as imaginary parts."""
-    at = F.sequence(F.lit(0), (F.size(v) / 2).cast("int") - 1)
+    at = F.filter(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int")), lambda i: 2 * i + 1 < F.size(v))
     return F.transform(at, lambda i: F.struct(F.get(v, i * 2).alias("re"), F.get(v, i * 2 + 1).alias("im")))
 
 
+def concat_of(*vectors: Column) -> Column:
+    """Concatenation in order, duplicates kept."""
+    return F.concat(*vectors)
+
+
+def union_of(a: Column, b: Column) -> Column:
+    """The sorted union of two sets as arrays, equal elements once; nulls last."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def member(v: Column, x: Column, kind: T.DataType) -> Column:
+    """Whether `x`, of type `kind`, is in the array: null finds null, NaN finds nothing."""
+    return F.exists(v, lambda e: e.eqNullSafe(x)) & findable(x, kind)
+
+
+def frame_slice(df: DataFrame, start: int, n: int, pos: str = "pos") -> DataFrame:
+    """`n` rows from position `start`, with positions from 0; the bounds reach the scan."""
+    return df.filter((F.col(pos) >= start) & (F.col(pos) < start + n)).withColumn(pos, F.col(pos) - start)
+
+
+def zip_frames(a: DataFrame, b: DataFrame, pos: str = "pos") -> DataFrame:
+    """Rows of two frames with the same position side by side, as far as the shorter goes."""
+    return a.join(b, pos)
+
+
 def append(frames: Sequence[DataFrame], columns: Sequence[str], src: str = "src") -> DataFrame:
     """Concatenation: duplicates stay, `src` says which frame a row is from and, with its own position, orders it."""
     return reduce(DataFrame.unionByName, [f.select(F.lit(i).alias(src), *columns) for i, f in enumerate(frames)])

@@ -26,13 +26,29 @@ def shared_folder(spark: SparkSession) -> str:
         return set_to.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("/tmp/keyloom-checkpoint")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("/tmp/keyloom-checkpoint")  # one machine
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nobody else uses. Frames read from it later, so it stays until `drop_scratch`."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+_given: list[str] = []
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch paths, all that were given out if none is named; frames that read them must not be used any more."""
+    for path in list(paths or _given):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _given:
+            _given.remove(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

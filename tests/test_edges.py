@@ -57,11 +57,45 @@ def test_sets(spark):
     assert KVSet.empty(spark, "a bigint").is_null().first()[0]
 
 
+def test_null_and_nan_in_merges_and_sets(spark):
+    a = spark.createDataFrame([(None, "new"), (1.0, "a")], "k double, v string")
+    b = spark.createDataFrame([(None, "old"), (float("nan"), "n")], "k double, v string")
+    for merge in (lambda x, y: merge_join(x, y, ["k"], ["v"]), lambda x, y: merge_runs([x, y], ["k"], ["v"])):
+        assert sorted((str(r.k), r.v) for r in merge(a, b).collect()) == [("1.0", "a"), ("None", "new"), ("nan", "n")]
+    s = KVSet(spark.createDataFrame([(None,), (float("nan"),), (0.0,)], "x double"))
+    probes = spark.createDataFrame([(None, 1), (float("nan"), 2), (-0.0, 3), (5.0, 4)], "p double, i int")
+    assert sorted(r.i for r in s.members(probes, ["p"]).collect()) == [1, 3]
+    assert sorted(r.i for r in s.non_members(probes, ["p"]).collect()) == [2, 4]
+    assert sorted(r.p for r in KVSet(spark.range(3).toDF("a")).members(spark.createDataFrame([(1,), (7,)], "p int"), ["p"]).collect()) == [1]
+
+
+def test_one_shuffle_for_lookups(spark):
+    m = KVMap(spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("v"), F.col("id").alias("seq")).repartition(4), ["k"], ["seq"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = m.lookup_many(spark.range(5).toDF("p"), ["p"])._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "coalesce" not in plan and "isnull" not in plan.replace("isnotnull", "")
+
+
+def test_scratch(spark):
+    from keyloom.sources.tables import drop_scratch, scratch_path
+
+    at = scratch_path(spark, "x")
+    spark.range(3).write.parquet(at)
+    drop_scratch(spark, at)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(at)
+
+
 def test_heap(spark):
     h = spark.createDataFrame([(1.0, 2), (1.0, 1), (0.5, 3)], "x double, id bigint")
     assert [r.id for r in pqueue.top_k(h, ["x", "id"], 3).collect()] == [3, 1, 2]
     assert pqueue.find_min(h.limit(0), ["x"]).count() == 0
-    assert [r.id for r in pqueue.delete_min(h, ["x", "id"]).collect()] == [1, 2]
+    assert sorted(r.id for r in pqueue.delete_min(h, ["x", "id"]).collect()) == [1, 2]
+    assert [r.id for r in pqueue.delete_min(h, ["x", "id"], 1, 2).collect()] == [1, 2]
+    assert pqueue.delete_min(h, ["x", "id"], 5).count() == 0 and pqueue.delete_min(h.limit(0), ["x", "id"]).count() == 0
+    assert "SinglePartition" not in pqueue.delete_min(h, ["x", "id"])._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
 
 
 def test_types(spark):
@@ -81,6 +115,9 @@ def test_vectors(spark):
     a = spark.createDataFrame([([2, 4, 6],)], "v array<bigint>")
     assert a.select(vec.array_lower_bound(F.col("v"), F.lit(5))).first()[0] == 2
     assert not vec.equal(k, k.limit(2)).first()[0]
+    assert spark.createDataFrame([([],), ([1.0, 2.0, 3.0],)], "v array<double>").select(F.size(vec.to_complex(F.col("v"))).alias("n")).collect() == [(0,), (1,)]
+    n = spark.createDataFrame([([None, float("nan")],)], "v array<double>")
+    assert n.select(vec.member(F.col("v"), F.lit(None).cast("double"), T.DoubleType()), vec.member(F.col("v"), F.lit(float("nan")), T.DoubleType())).first() == (True, False)
     assert vec.equal(k.limit(0), k.limit(0)).first()[0]
 
 
