@@ -314,7 +314,7 @@ def search_block(head: np.ndarray, bodies: list[bytes], rule: Rule) -> np.ndarra
     return out
 
 
-def searched(cut: DataFrame, rule: Rule) -> DataFrame:
+def searched(cut: DataFrame, rule: Rule, shards: int) -> DataFrame:
     """(doc, tag, start, end): what repeated windows cover in the pieces of each shard."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -326,15 +326,17 @@ def searched(cut: DataFrame, rule: Rule) -> DataFrame:
         s = np.concatenate(out)
         return pa.table({"doc": s["doc"], "tag": s["tag"], "start": s["start"].astype(np.int64), "end": s["end"].astype(np.int64)})
 
-    return cut.groupBy("shard").applyInArrow(run, "doc long, tag long, start long, end long")
+    # a number of its own, as searches take far longer than the bytes of their contents would let one think
+    return cut.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "doc long, tag long, start long, end long")
 
 
 def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, text, cover) of `keyed` documents: `cover` are spans (start, end) of symbols to remove, unsorted and overlapping, null if none."""
     spark = docs.sparkSession
     met = keep(meet_leaders(docs, rule), scratch_path(spark, "leads"))
-    cut = contents(docs, met.filter("lead is not null").select("doc", "tag", "start", "end", "lead"), rule, bucket_count(docs, SHARD_BYTES))
-    found = keep(searched(cut, rule), scratch_path(spark, "repeats"))
+    shards = bucket_count(docs, SHARD_BYTES)
+    cut = contents(docs, met.filter("lead is not null").select("doc", "tag", "start", "end", "lead"), rule, shards)
+    found = keep(searched(cut, rule, shards), scratch_path(spark, "repeats"))
     spans = met.filter("lead is null").select("doc", "tag", "start", "end").union(found)
     by_row = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     return docs.join(by_row, ["doc", "tag"], "left").select("doc_id", "text", "cover")
