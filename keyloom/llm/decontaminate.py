@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index; DataFrame functions only.
 
-Test texts become windows of consecutive words. The corpus frequency of every test term is counted over all documents;
-a window is searched through its rarest terms. Postings (document, position) of those terms carry the words about them.
-Shifted by the term's place in the test text, the postings of two terms of one occurrence give the same start, so lists
-are intersected by (document, item, start): a window counts where all its words agree.
+Test texts become windows of consecutive words. The corpus frequency of every test term is counted over all documents, and each window
+is searched through its two rarest words. The postings (term, document, position) of these are stored, each with the words about it.
+Shifted by the term's place in the test text, the postings of two terms of one occurrence give the same start, so lists are intersected
+by (document, item, start); a window counts where all its words agree. Proximity comes from the same postings.
 
 Test terms are broadcast only up to BROADCAST_TERMS of them; beyond it they are joined by a shuffle.
 
@@ -16,9 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from keyloom.sources.tables import cut_lineage, read_table
+from keyloom.sources.tables import cut_lineage, read_table, scratch_path
 
 WINDOW = 13
 BROADCAST_TERMS = 200_000
@@ -51,49 +50,83 @@ def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text: str = "te
     return each.join(sized_hint(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, item, at, n): for each window of each item the place of its rarest term; none if a term is not in the corpus."""
+def plans(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, s, a1, t1, a2, t2): for each window of each item, by its first word s, the places and terms of its two rarest words; no second for
+    windows of one word. Windows with a term that is not in the corpus are left out."""
     w = items.select("item", "n", F.posexplode("words").alias("at", "word")).withColumn("term", F.lower("word")).join(counts, "term", "left")
     width = F.least(F.lit(window), F.col("n"))
-    spread = w.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least(F.col("at"), F.col("n") - width))))
-    rare = spread.groupBy("item", "n", "start").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term")).alias("r"))
-    return rare.filter("r.df > 0").select("r.term", "item", F.col("r.at").alias("at"), "n").distinct()
+    spread = w.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least(F.col("at"), F.col("n") - width))))
+    rare = spread.groupBy("item", "s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term"))).alias("r"))  # of a window's words
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    return rare.filter(first["df"] > 0).select("item", "s", first["at"].alias("a1"), first["term"].alias("t1"), second["at"].alias("a2"), second["term"].alias("t2"))
 
 
-def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, text: str = "text") -> DataFrame:
-    """Postings of the anchor terms, shifted to where the item would start: (doc_id, row, item, start, skip, near).
-
-    `near` is the document's words along the item, cut at the document's ends; `skip` of the item's words are before it.
-    """
+def postings(docs: DataFrame, terms: DataFrame, n_terms: int, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """The positional index of the training texts for `terms`: (term, doc_id, row, pos, low, around). `around` are the words from place `low` to a
+    window's length beyond `pos`."""
     w = docs.select("doc_id", F.xxhash64(text).alias("row"), words_of(F.col(text)).alias("words"))
-    each = w.select("doc_id", "row", "words", F.posexplode("words").alias("pos", "w")).withColumn("term", F.lower("w"))
-    hit = each.join(sized_hint(wanted, n_wanted), "term")
-    start = F.col("pos") - F.col("at")
-    skip = F.greatest(F.lit(0), -start)
-    return hit.select("doc_id", "row", "item", start.alias("start"), skip.alias("skip"), F.slice("words", start + skip + 1, F.col("n") - skip).alias("near"))
-
-
-def phrase_hits(found: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, pos, item_id): the document's words inside occurrences of windows."""
-    at = found.groupBy("doc_id", "row", "item", "start", "skip").agg(F.first("near").alias("near"))
-    both = at.join(items.select("item", "item_id", "words", "n"), "item")
-    pairs = F.zip_with("near", F.slice("words", F.col("skip") + 1, F.size("near")), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
-    each = both.select("doc_id", "row", "item", "item_id", "start", "skip", "n", F.posexplode(pairs).alias("k", "p"))
-    same = each.filter(lowered(F.col("p.d")) == F.col("p.i"))
-    one = ["doc_id", "row", "item", "start"]
-    runs = same.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*one).orderBy("k")))
-    long = runs.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy(*one, "run"))).filter(F.col("len") >= F.least(F.lit(window), F.col("n")))
-    return long.select("doc_id", "row", (F.col("start") + F.col("skip") + F.col("k")).alias("pos"), "item_id")
+    low = F.greatest(F.lit(0), F.col("pos") - window + 1)
+    around = F.slice("words", low + 1, F.col("pos") - low + window)
+    if n_terms <= BROADCAST_TERMS:
+        each = w.select("doc_id", "row", "words", F.posexplode("words").alias("pos", "w")).withColumn("term", F.lower("w"))
+        return each.join(F.broadcast(terms), "term").select("term", "doc_id", "row", "pos", low.alias("low"), around.alias("around"))
+    # before a shuffle each word carries its neighbours alone, not the whole text
+    cut = F.transform("words", lambda x, i: F.struct(x.alias("w"), i.alias("pos"), F.slice(F.col("words"), F.greatest(F.lit(0), i - window + 1) + 1, F.least(i, F.lit(window - 1)) + window).alias("around")))
+    each = w.select("doc_id", "row", F.explode(cut).alias("x")).select(F.lower("x.w").alias("term"), "doc_id", "row", "x.pos", F.greatest(F.lit(0), F.col("x.pos") - window + 1).alias("low"), "x.around")
+    return each.join(terms, "term").select("term", "doc_id", "row", "pos", "low", "around")
+
+
+def phrase_hits(index: DataFrame, items: DataFrame, planned: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, row, item_id, places, near): for each alignment of an item with a document the document's words inside occurrences of windows,
+    and whether two rarest words of a window are near each other.
+
+    The lists of a window's two rarest terms are shifted by the terms' places in the item and intersected by (document, item, start); what
+    is left is compared word by word.
+    """
+    size = F.count(F.lit(1))
+    first = planned.groupBy(F.col("t1").alias("term"), "item", F.col("a1").alias("at")).agg(F.collect_set("t2").alias("partners"))
+    second = planned.filter("a2 is not null").select(F.col("t2").alias("term"), "item", F.col("a2").alias("at")).distinct()
+    lists = cut_lineage(first.unionByName(second, allowMissingColumns=True))
+    hit = index.join(sized_hint(lists, lists.count()), "term")
+    near = F.coalesce(F.arrays_overlap(F.transform("around", lambda x: F.lower(x)), "partners"), F.lit(False))
+    hit = hit.select("doc_id", "row", "item", (F.col("pos") - F.col("at")).alias("start"), near.alias("near"), F.struct("at", "low", "around").alias("hit"))
+    at = hit.groupBy("doc_id", "row", "item", "start").agg(F.collect_set("hit").alias("hits"), F.max("near").alias("near"))
+    windows = planned.groupBy("item").agg(F.collect_list(F.struct("s", "a1", "a2")).alias("windows"), size.alias("m"))
+    whole = cut_lineage(items.join(windows, "item").select("item", "item_id", "words", "n", "windows", "m"))
+    both = at.join(sized_hint(whole.drop("m"), whole.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]), "item")
+    width, start = F.least(F.lit(window), F.col("n")), F.col("start")
+
+    def same(w: Column, h: Column) -> Column:
+        begin = start + w["s"] - h["low"]
+        there = F.slice(h["around"], F.greatest(begin, F.lit(0)) + 1, width)
+        return (h["at"] == w["a1"]) & (begin >= 0) & (F.transform(there, lowered) == F.slice(F.col("words"), w["s"] + 1, width))
+
+    listed = F.transform("hits", lambda h: h["at"])
+    # both lists have the alignment (a window of one word has one list); then all words agree
+    met = both.withColumn("windows", F.filter("windows", lambda w: F.array_contains(listed, w["a1"]) & (w["a2"].isNull() | F.array_contains(listed, w["a2"]))))
+    met = met.filter((F.size("windows") > 0) | F.col("near"))
+    found = F.filter("windows", lambda w: F.exists("hits", lambda h: same(w, h)))
+    places = F.array_distinct(F.flatten(F.transform(found, lambda w: F.sequence(start + w["s"], start + w["s"] + width - 1))))
+    return met.select("doc_id", "row", "item_id", places.alias("places"), "near")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, n_hit, n_items, item_ids) of the documents that are hit; `row` is xxhash64 of the text."""
+    """(doc_id, row, n_hit, item_ids, n_near) of the documents that are hit or near; `row` is xxhash64 of the text."""
+    spark = docs.sparkSession
     t = cut_lineage(test_items(items))
     terms = t.select(F.explode("words").alias("w")).select(F.lower("w").alias("term")).distinct()
-    counts = term_counts(docs, terms, terms.count())
-    wanted = cut_lineage(anchors(t, counts, window))
-    hits = phrase_hits(postings(docs, wanted, wanted.count()), t, window)
-    return hits.groupBy("doc_id", "row").agg(F.count_distinct("pos").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    planned = cut_lineage(plans(t, term_counts(docs, terms, terms.count()), window))
+    wanted = cut_lineage(planned.select(F.explode(F.array("t1", "t2")).alias("term")).filter("term is not null").distinct())
+    at = scratch_path(spark, "postings")
+    postings(docs, wanted, wanted.count(), window).sortWithinPartitions("term").write.option("compression", "zstd").parquet(at)
+    hits = phrase_hits(spark.read.parquet(at), t, planned, window)
+    per = hits.groupBy("doc_id", "row", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
+    one = per.withColumn("is_hit", F.size("places") > 0)
+    items_of = one.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.when(F.col("is_hit"), F.col("item_id")))).alias("item_ids"), F.count(F.lit(1)).alias("n_near"))
+    words = one.filter("is_hit").select("doc_id", "row", F.explode("places").alias("pos")).distinct().groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_hit"))
+    words = words.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), "n_hit")
+    both = items_of.join(words, items_of["doc_id"].eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")), "left")
+    return both.select("doc_id", "row", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "item_ids", "n_near")
 
 
 def proximity(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -108,17 +141,18 @@ def proximity(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """Every document with n_words, n_hit, n_items, items_sha256 and contaminated, besides its own columns."""
-    clash = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__row"]
+    """Every document with n_words, n_hit, n_items, items_sha256, contaminated and n_near, besides its own columns. `n_near` counts the items of
+    which a window occurs, or has its two rarest words less than a window apart."""
+    clash = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "__row"]
     hit = contamination(docs.select("doc_id", "text"), items, window)
-    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hit_row"), F.col("n_hit").alias("__n_hit"), F.col("item_ids").alias("__item_ids"))
+    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hit_row"), F.col("n_hit").alias("__n_hit"), F.col("item_ids").alias("__item_ids"), F.col("n_near").alias("__n_near"))
     own = docs.drop(*clash).withColumn("__row", F.xxhash64("text"))
     counted = own.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
     both = counted.join(hit, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__hit_row")), "left")
-    n_hit = F.coalesce("__n_hit", F.lit(0))
+    n_hit, ids = F.coalesce("__n_hit", F.lit(0)), F.coalesce("__item_ids", F.array().cast("array<string>"))
     return both.select(
-        *own.drop("__row").columns, "n_words", n_hit.alias("n_hit"), F.when(F.col("__item_ids").isNull(), 0).otherwise(F.size("__item_ids")).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.coalesce("__item_ids", F.array().cast("array<string>"))), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *own.drop("__row").columns, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), F.coalesce("__n_near", F.lit(0)).alias("n_near"),
     )
 
 

@@ -97,10 +97,17 @@ def mix(docs: DataFrame, most: int = MOST, block_words: int = BLOCK_WORDS, weigh
 
 def take(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixed corpus: each text becomes the words that are taken of it. Whole turns stand on lines of their own; of a last turn
-    that is not whole the first words are taken. Documents of which nothing is taken are left out; equal rows are treated alike."""
+    that is not whole the first words are taken. Documents of which nothing is taken are left out. Rows of equal doc_id, text and source
+    share what the mix takes of them: as many as it takes whole are whole, one is cut, the others have a turn less."""
     row = F.xxhash64("text", "source")
-    taken = mix(docs, most, carry=[row.alias("__row")]).groupBy(F.col("doc_id").alias("__doc"), "__row").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size")).filter("__taken > 0")
+    taken = mix(docs, most, carry=[row.alias("__row")]).groupBy(F.col("doc_id").alias("__doc"), "__row")
+    taken = taken.agg(F.min("taken").alias("__least"), F.sum("taken").alias("__all"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
     both = docs.withColumn("__own", row).join(taken, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__row")))
+    # every row has the turns that the least has; what is left goes to the first of them
+    turns = F.floor(F.col("__least") / F.col("__size")) * F.col("__size")
+    left = F.col("__all") - F.col("__rows") * turns
+    number = F.row_number().over(Window.partitionBy("__doc", "__own").orderBy(F.xxhash64(*docs.columns))) - 1
+    both = both.withColumn("__taken", turns + F.greatest(F.lit(0), F.least(F.col("__size"), left - number * F.col("__size")))).filter("__taken > 0")
     rest = F.col("__taken") % F.col("__size")
     words = F.array_join(F.slice(F.array_remove(F.split("text", BETWEEN), ""), 1, rest.cast("int")), " ")
     whole = F.repeat(F.concat("text", F.lit("\n")), (F.floor(F.col("__taken") / F.col("__size")) - 1).cast("int"))

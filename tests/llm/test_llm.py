@@ -193,9 +193,31 @@ def test_mixing(spark):
         assert abs(taken - target) <= max(4, 0.01 * target)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(frame(spark, texts).repartition(7)).collect()), key=str)
     assert mixing.mix(frame(spark, texts).limit(0)).count() == 0
-    taken = {r.doc_id: r.taken for r in got}
-    for r in mixing.take(frame(spark, texts)).collect():
-        assert len(brute.WORD.findall(r.text)) == taken[r.doc_id]
+    taken = defaultdict(list)
+    for r in mixing.mix(frame(spark, repeated())).collect():
+        if r.taken:
+            taken[r.doc_id, r.source, r["size"]].append(r.taken)
+    given = defaultdict(list)
+    size = {(i, t): len(brute.WORD.findall(t or "")) for i, t in repeated()}
+    most = defaultdict(int)
+    for k, n in size.items():
+        most[k[0], n] = max(most[k[0], n], n)
+    for r in mixing.take(frame(spark, repeated())).collect():
+        given[r.doc_id, r.source].append(len(brute.WORD.findall(r.text)))
+    want = defaultdict(list)
+    for (i, source, _), n in taken.items():
+        want[i, source] += n
+    assert {k: sum(v) for k, v in given.items()} == {k: sum(v) for k, v in want.items()}
+
+
+def test_mixing_over_several_shards(spark, tmp_path):
+    """Rows enough for four shards, equal to the SQL."""
+    from test_oracle import compare
+
+    words = spark.range(9000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 40 as int)) AS text", "'en' AS lang", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source", "0L AS n_chars")
+    words.coalesce(1).write.parquet(str(tmp_path / "d"))
+    (next((tmp_path / "d").glob("part*"))).rename(tmp_path / "documents.parquet")
+    compare(spark, "op2", registry.QUERIES["op2_mix_sources"], registry.SQL["op2_mix_sources"], str(tmp_path), ["documents"])
 
 
 def test_sharding(spark):
@@ -321,11 +343,19 @@ def test_warc(spark, tmp_path):
     assert warc.archive(df.limit(0), str(tmp_path / "e"))[2] == []
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     items = [(1, " ".join(f"w{i}" for i in range(20))), (2, "Short ITEM here"), (3, ""), (4, None), (10, "é x1 é"), (2, "Short ITEM here")]
     texts = [*awkward(), (900, "pre " + ", ".join(f"W{i}" for i in range(3, 19)) + " post"), (901, "a short-item HERE."), (902, "w1 w2 w3"), (903, "É x1 é é x1 é"), (904, "w5 " * 3 + " ".join(f"w{i}" for i in range(20)) * 2)]
+    texts += repeated()[len(awkward()) :] + [(901, "w1 then w2"), (901, "a short-item HERE."), (905, " ".join(f"w{i}" for i in reversed(range(20)))), (None, "short item here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows(decontaminate.judge(frame(spark, texts).select("doc_id", "text"), bench).drop("text"))
+    named = frame(spark, texts).select("doc_id", "text").withColumn("item_ids", F.lit("x"))  # a name that the operator uses itself
+    judged = decontaminate.judge(named, bench)
+    assert "item_ids" in judged.columns
+    got = rows(judged.drop("text", "item_ids", "n_near"))
+    near = {r.doc_id: r.n_near for r in judged.collect()}
+    assert near[905] == 1 and near[903] == 1 and near[13] == 0
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 0)  # joins by shuffles give the same
+    assert rows(decontaminate.judge(named, bench).drop("text", "item_ids", "n_near")) == got
     assert got == ordered(brute.items_hits(texts, items))
     assert {r.doc_id for r in decontaminate.proximity(frame(spark, texts), ["short", "here"], 3).collect()} == {901}
     assert decontaminate.judge(frame(spark, texts).limit(0), bench).count() == 0
