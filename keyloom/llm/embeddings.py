@@ -9,8 +9,8 @@ The turn is orthogonal and the bound is exact with a margin for rounding, so no
 collapse before. Tasks give counts and spanning forests, never the pairs of a dense group.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths
-don't link; rows of a repeated vec_id are vectors of their own; rows without vec_id are left out; extra columns are ignored; an empty
-table gives no rows.
+don't link; rows of a repeated vec_id are vectors of their own; a null vec_id comes after all others, and is the component_id, null, only
+of rows that reach no other; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components, forest
+from keyloom.llm.text import NO_ID
 from keyloom.sources.tables import cut_lineage, read_table, scratch_path
 
 THRESHOLD = 0.9
@@ -47,9 +48,9 @@ def good(vector: Column) -> Column:
 
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Principal axes by vector length, from a bounded sample; lengths not sampled keep their own axes."""
-    rows = vectors.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vector").toArrow().column("vector")
+    rows = vectors.orderBy("id").limit(SAMPLE).select("vector").toArrow().column("vector")
     by: dict[int, list] = {}
-    for v in rows.to_pylist():
+    for v in rows.to_pylist():  # a bounded sample
         by.setdefault(len(v), []).append(v)
     out = {}
     for n, v in by.items():
@@ -58,25 +59,25 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def tiles_of(vectors: DataFrame, turn: dict[int, np.ndarray], tiles: int) -> DataFrame:
-    """(tile, ids, counts, turned): the vectors of a tile as blobs; a tile has vectors of one length."""
-    known = vectors.sparkSession.sparkContext.broadcast(turn)  # of fixed size for a length
+def tiles_of(vectors: DataFrame, tiles: int) -> DataFrame:
+    """(tile, ids, counts, units): the unit vectors of a tile as blobs; a tile has vectors of one length."""
 
     def run(table: pa.Table) -> pa.Table:
         n = len(table.column("vector")[0])
         v = unit(table.column("vector").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, n)) if table.num_rows else np.zeros((0, n))
-        v = v @ known.value.get(n, np.eye(n))
         return pa.table({
-            "tile": table.column("tile").slice(0, 1), "length": pa.array([n], pa.int32()), "ids": pa.array([table.column("rep").to_numpy().tobytes()], pa.binary()),
-            "counts": pa.array([table.column("copies").to_numpy().tobytes()], pa.binary()), "turned": pa.array([v.tobytes()], pa.binary()),
+            "tile": table.column("tile").slice(0, 1), "length": pa.array([n], pa.int32()), "ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()),
+            "counts": pa.array([table.column("copies").to_numpy().tobytes()], pa.binary()), "units": pa.array([v.tobytes()], pa.binary()),
         })
 
-    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int")).withColumn("length", F.size("vector"))
-    return dealt.groupBy("tile", "length").applyInArrow(run, "tile int, length int, ids binary, counts binary, turned binary")
+    dealt = vectors.withColumn("tile", F.pmod("id", F.lit(tiles)).cast("int")).withColumn("length", F.size("vector"))
+    return dealt.groupBy("tile", "length").applyInArrow(run, "tile int, length int, ids binary, counts binary, units binary")
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into x and y) with a product of threshold or more, block by block."""
+def close_pairs(u: np.ndarray, v: np.ndarray, turn: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into u and v) with a product of threshold or more, block by block: bounds are over the turned vectors, what they leave
+    is judged by the vectors as they are."""
+    x, y = u @ turn, v @ turn
     d = x.shape[1]
     steps = [k for k in STEPS if k < d]
     norms = lambda v: [np.sqrt(np.maximum((v[:, k:] ** 2).sum(axis=1), 0)) for k in steps]
@@ -90,7 +91,7 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tupl
             bound = np.float32(threshold - MARGIN) - (np.outer(nx[0][xs], ny[0][ys]).astype(np.float32) if steps else 0)
             i, j = np.nonzero(part >= bound)
             if len(i) * 8 > part.size:  # many are left: whole products cost less than single ones
-                whole = x[xs] @ y[ys].T
+                whole = u[xs] @ v[ys].T
                 i, j = np.nonzero(whole >= threshold - 1e-9)
                 i, j = i + a, j + b
             else:
@@ -99,25 +100,26 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tupl
                     left = np.einsum("ij,ij->i", x[i, :k], y[j, :k]) + nx[s][i] * ny[s][j] >= threshold - MARGIN
                     i, j = i[left], j[left]
             if len(i):
-                ok = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+                ok = np.einsum("ij,ij->i", u[i], v[j]) >= threshold
                 if ok.any():
                     yield i[ok], j[ok]
 
 
-def compare(tiles: DataFrame, count: int, threshold: float) -> DataFrame:
+def compare(tiles: DataFrame, count: int, turn: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """(id, links, tie): for each pair of tiles and vector with links there, their number and a node of its tree."""
+    known = tiles.sparkSession.sparkContext.broadcast(turn)  # of fixed size for a length
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["tile", "ids", "counts", "turned", "length"]).to_pylist(), key=lambda r: r["tile"])
+        rows = sorted(table.select(["tile", "ids", "counts", "units", "length"]).to_pylist(), key=lambda r: r["tile"])
         n = rows[0]["length"]
-        one = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["turned"]).reshape(-1, n)) for r in rows]
+        one = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["units"]).reshape(-1, n)) for r in rows]
         same = len(one) == 1
         (xi, xc, x), (yi, yc, y) = one[0], one[-1]
         if same and table.column("i")[0].as_py() != table.column("j")[0].as_py():
             x = x[:0]  # the other tile has no vectors of this length
         links_x, links_y = np.zeros(len(xi), np.int64), np.zeros(len(yi), np.int64)
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in close_pairs(x, y, threshold):
+        for i, j in close_pairs(x, y, known.value.get(n, np.eye(n)), threshold):
             if same:
                 keep = i != j
                 i, j = i[keep], j[keep]
@@ -141,25 +143,28 @@ def compare(tiles: DataFrame, count: int, threshold: float) -> DataFrame:
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept)."""
     spark = rows.sparkSession
-    all_rows = rows.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    all_rows = rows.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(int(NO_ID))).alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     all_rows = all_rows.withColumn("vector", F.when(good(F.col("vector")), F.col("vector")))
+    # a vector is known by its content: equal ones collapse, different ones of a repeated vec_id stay apart
     named = all_rows.withColumn("name", F.when(F.col("vector").isNotNull(), F.sha2(F.array_join("vector", " "), 256)))
     named_at = scratch_path(spark, "vectors")
     named.write.parquet(named_at)
     named = spark.read.parquet(named_at)
     distinct = named.filter("vector is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
-    distinct = cut_lineage(distinct)
+    distinct = cut_lineage(distinct.withColumn("id", F.xxhash64("name")))
     many = distinct.count()
     size = int(np.clip(many // 12, LEAST_TILE, MOST_TILE))
     count = max(1, -(-many // size))
-    found = cut_lineage(compare(tiles_of(distinct, axes(distinct), count), count, threshold))
+    found = cut_lineage(compare(tiles_of(distinct, count), count, axes(distinct), threshold))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(found.filter("id <> tie").select(F.col("id").alias("u"), F.col("tie").alias("v")))
-    of = distinct.select("name", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("name", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    parts = components(found.filter("id <> tie").select(F.col("id").alias("u"), F.col("tie").alias("v"))).withColumnRenamed("node", "id")
+    of = distinct.select("name", "id", "rep", "copies").join(links, "id", "left").join(parts, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    least = of.groupBy("root").agg(F.min("rep").alias("least"))
+    of = of.join(least, "root").select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
     done = named.select("vec_id", "name").join(of, "name", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    known_id = lambda c: F.when(c != int(NO_ID), c)
+    component = F.coalesce("least", "vec_id")
+    return done.select(known_id(F.col("vec_id")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), known_id(component).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

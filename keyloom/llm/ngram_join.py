@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from keyloom.llm.blobs import bucket_count, bucket_of, deal, group_starts, keep, undeal
 from keyloom.llm.components import components, forest
 from keyloom.llm.text import NO_ID, chunks, keyed, mix, shingle_sets
-from keyloom.sources.tables import cut_lineage, read_table, scratch_path
+from keyloom.sources.tables import read_table, scratch_path
 
 #: A shingle in this many sets is frequent; a group of this many sets is large.
 FREQUENT = 16
@@ -335,21 +335,23 @@ def similar_rows(docs: DataFrame, k: int = 5, percent: int = 75, tile: int = 512
     often = large.groupBy("set").agg(F.count(F.lit(1)).alias("often"))
     ranked = large.join(often, "set")
     best = ranked.groupBy("group").agg(F.max(F.struct("often", "set")).alias("p"), F.min(F.struct("often", "set")).alias("q"))
-    tied = large.join(best.select("group", F.explode(F.array("p.set", "q.set")).alias("p")), "group")
+    # each frame that is used again is written first, which keeps the plans that the driver holds small
+    best = keep(best.select("group", F.col("p.set").alias("pivot"), F.col("q.set").alias("other")), scratch_path(spark, "pivots"))
+    tied = large.join(best.select("group", F.explode(F.array("pivot", "other")).alias("p")), "group")
     stars = tied.select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b"))
     pairs = met.filter("kind = 0").select("a", "b").union(stars).filter("a <> b").distinct()
-    pairs = cut_lineage(bounded(pairs, points, percent))
+    pairs = keep(bounded(pairs, points, percent), scratch_path(spark, "bounded"))
     # the bound leaves few sets; their members are read from the texts once, with those of large groups for what follows
     named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(large.select("set")).distinct()
     known = keep(wanted_sets(docs, stands.join(named, "set"), k), scratch_path(spark, "members"))
-    first = cut_lineage(verified(pairs, known, percent))
-    label = cut_lineage(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    first = keep(verified(pairs, known, percent), scratch_path(spark, "links"))
+    label = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     now = large.join(label.withColumnRenamed("node", "set"), "set", "left").select("group", "set", F.coalesce("component", "set").alias("label"))
+    now = keep(now.join(best.select("group", "pivot"), "group"), scratch_path(spark, "labels"))
     # groups of one component are done; the others, those of one pivot together, are cut into tiles of hashed members, and every member
     # but those of the largest component searches all tiles
-    now = now.join(best.select("group", F.col("p.set").alias("pivot")), "group").select("pivot", "set", "label", F.col("group"))
-    by = now.groupBy("group", "pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("group")
-    now = now.join(by, "group").select("pivot", "set", "label").distinct()
+    by = now.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("group")
+    now = keep(now.join(by, "group").select("pivot", "set", "label").distinct(), scratch_path(spark, "mixed"))
     by = now.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = by.groupBy("pivot").agg(F.sum("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("bulk"))
     todo = now.join(mixed, "pivot").withColumn("tiles", F.ceil(F.col("c") / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
@@ -357,7 +359,7 @@ def similar_rows(docs: DataFrame, k: int = 5, percent: int = 75, tile: int = 512
     holds = todo.select("pivot", "set", "label", "t", F.lit(False).alias("own"))
     parts = asks.union(holds).join(known, "set").withColumn("part", F.xxhash64("pivot", "t")).select("part", "set", "label", "members", "own")
     more = search_groups(parts, percent)
-    edges = cut_lineage(first.union(more))
+    edges = keep(first.union(more), scratch_path(spark, "all-links"))
     # components of sets, then the smallest document of each
     ends = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "set")
     rooted = stands.join(ends, "set", "left").withColumn("root", F.coalesce("component", "set"))

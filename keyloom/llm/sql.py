@@ -3,7 +3,7 @@
 SQL: dict[str, str] = {}
 
 SQL["op9_warc_capture_index"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
@@ -13,9 +13,9 @@ CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 SQL["op10_benchmark_hits"] = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
-win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS phrase FROM bw, generate_series(1, 100000) t(i) WHERE len(w) > 0 AND i <= len(w) - least(13, len(w)) + 1),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS phrase FROM bw, unnest(range(1, CAST(len(w) - least(13, len(w)) + 2 AS BIGINT))) t(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT k FROM win),
-occ AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM dw, sizes, generate_series(1, 1000000) t(i) WHERE i <= len(w) - k + 1),
+occ AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT * FROM dw, sizes), unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) t(i)),
 hit AS (SELECT o.doc_id, o.i, o.k, win.item_id FROM occ o JOIN win ON o.phrase = win.phrase AND o.k = win.k),
 pos AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, generate_series(0, 12) t(j) WHERE j < k GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
@@ -44,11 +44,11 @@ lv AS (SELECT left_t AS lt, left_w AS lw FROM s3 WHERE NOT is_full ORDER BY cap
 s4 AS (SELECT source, source_size, total, n, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE least(weight * CAST(lt AS DOUBLE) / lw, CAST(cap AS DOUBLE)) END AS target FROM s3, lv),
 s5 AS (SELECT *, greatest(1, least(16, total // (1000 * n))) AS block FROM s4),
 s6 AS (SELECT *, (total + block // 2) // block AS blocks FROM s5),
-q AS (SELECT source, i, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source NULLS LAST, i) AS r, blocks FROM s6, generate_series(0, 200000) t(i) WHERE target > 0 AND i <= target / block + n + 2),
+q AS (SELECT source, i, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source NULLS LAST, i) AS r, blocks FROM s6, unnest(range(0, CAST(target / block + n + 3 AS BIGINT))) t(i) WHERE target > 0),
 sb AS (SELECT s6.*, coalesce(b, 0) AS source_blocks FROM s6 LEFT JOIN (SELECT source, count(*) AS b FROM q WHERE r <= blocks GROUP BY source) x ON x.source IS NOT DISTINCT FROM s6.source),
 cell AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS cell_size FROM p GROUP BY source, shard),
 c1 AS (SELECT sb.source, shard, cell_size, source_size, source_blocks, block, target, count(*) OVER (PARTITION BY sb.source) AS nc FROM cell JOIN sb ON cell.source IS NOT DISTINCT FROM sb.source),
-cq AS (SELECT source, shard, source_blocks, row_number() OVER (PARTITION BY source ORDER BY cell_size / (2 * i + 1) DESC, shard, i) AS r FROM c1, generate_series(0, 200000) t(i) WHERE cell_size > 0 AND i <= cell_size * source_blocks / source_size + nc + 2),
+cq AS (SELECT source, shard, source_blocks, row_number() OVER (PARTITION BY source ORDER BY cell_size / (2 * i + 1) DESC, shard, i) AS r FROM c1, unnest(range(0, CAST(cell_size * source_blocks / source_size + nc + 3 AS BIGINT))) t(i) WHERE cell_size > 0),
 c2 AS (SELECT c1.*, coalesce(b, 0) AS cell_blocks FROM c1 LEFT JOIN (SELECT source, shard, count(*) AS b FROM cq WHERE r <= source_blocks GROUP BY source, shard) x ON x.source IS NOT DISTINCT FROM c1.source AND x.shard = c1.shard),
 c3 AS (SELECT *, least(cell_blocks * block, cell_size * 3) AS words FROM c2),
 o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior FROM p)
@@ -57,11 +57,23 @@ FROM o JOIN c3 ON o.source IS NOT DISTINCT FROM c3.source AND o.shard = c3.shard
 """
 
 SQL["op5_substring_fm_index"] = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase FROM d, generate_series(1, 1000000) t(i) WHERE i <= len(w) - 12),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase FROM d, unnest(range(1, CAST(len(w) - 11 AS BIGINT))) t(i)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) AS first FROM win) WHERE first < doc_id),
 gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM later, generate_series(0, 12) t(j)),
-kept AS (SELECT d.doc_id, string_agg(w[p], ' ' ORDER BY p) AS text FROM d, generate_series(1, 1000000) t(p) WHERE p <= len(w) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.pos = p) GROUP BY d.doc_id),
+kept AS (SELECT d.doc_id, string_agg(w[p], ' ' ORDER BY p) AS text FROM d, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) t(p) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.pos = p) GROUP BY d.doc_id),
 n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s FROM d, unnest(range(1, CAST(greatest(len(w) - 4, 1) + 1 AS BIGINT))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_of AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM both_of JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u),
+c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.u = d.doc_id
+"""

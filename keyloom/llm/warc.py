@@ -8,7 +8,7 @@ reads (block, record). Index files are key ranges, so their number, which is all
 Tasks write files of unique names to the shared folder and return what they wrote; files of lost attempts are never referred to.
 
 Defined cases: null html is an empty payload; payloads under 100 bytes are always responses; null or odd URLs have keys as they
-stand; rows without page_id are left out; equal rows are records of their own; an empty table gives no rows; extra columns are ignored.
+stand; rows without page_id are pages like others, though none refers to them; equal rows are records of their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from keyloom.sources.tables import read_table, scratch_path
 LEAST_REVISIT = 100
 BLOCK_LINES = 256
 FILE_BYTES = 256 << 20
+TASK_BYTES = 64 << 20
 ENTRY = "key string, page_id long, file string, offset long, length long"
 
 
@@ -47,7 +48,7 @@ def url_key(url: Column) -> Column:
 
 
 def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    head = [f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = [f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if refers_to is None:
         kind, block = "response", http + payload
@@ -93,6 +94,17 @@ def write_records(typed: DataFrame, folder: str) -> DataFrame:
     return typed.mapInArrow(run, ENTRY)
 
 
+def place(page_id: int | None) -> int:
+    """The order of page ids, null before all others as Spark sorts it."""
+    return -(1 << 63) if page_id is None else page_id
+
+
+def tasks_for(entries: DataFrame) -> int:
+    """Tasks by the bytes of the records, as the rows that name them are small."""
+    total = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
+
+
 def write_index(entries: DataFrame, folder: str) -> DataFrame:
     """Writes sorted entries as index files; gives (first, file, directory) for each: the range of its directory in the file."""
 
@@ -102,7 +114,7 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
 
         def put() -> int:
             data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode(), 6)
-            directory.append([lines[0][0], lines[0][1], offset, len(data)])
+            directory.append([lines[0][0], place(lines[0][1]), offset, len(data)])
             out.write(data)
             return offset + len(data)
 
@@ -122,7 +134,7 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.record_batch({"first": [directory[0][0]], "page_id": pa.array([directory[0][1]], pa.int64()), "file": [name], "offset": pa.array([offset], pa.int64()), "length": pa.array([len(data)], pa.int64())})
 
-    spread = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    spread = entries.repartitionByRange(tasks_for(entries), "key", "page_id").sortWithinPartitions("key", "page_id")
     return spread.mapInArrow(run, "first string, page_id long, file string, offset long, length long")
 
 
@@ -147,15 +159,15 @@ class CaptureIndex:
 
     def find(self, key: str, page_id: int) -> Iterator[tuple]:
         """(file, offset, length) of the captures of a key and page."""
-        want = (key, page_id)
+        want = (key, place(page_id))
         f = max(0, bisect.bisect_left(self.firsts, want) - 1)
         while f < len(self.files) and self.firsts[f] <= want:
             starts = [(x[0], x[1]) for x in self.directory(f)]
             b = max(0, bisect.bisect_left(starts, want) - 1)
             while b < len(starts) and starts[b] <= want:
                 lines = self.block(f, b)
-                i = bisect.bisect_left(lines, want, key=lambda x: (x[0], x[1]))
-                while i < len(lines) and (lines[i][0], lines[i][1]) == want:
+                i = bisect.bisect_left(lines, want, key=lambda x: (x[0], place(x[1])))
+                while i < len(lines) and (lines[i][0], place(lines[i][1])) == want:
                     yield tuple(lines[i][2:])
                     i += 1
                 b += 1
@@ -193,21 +205,22 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame
     fs, at = opened(folder)
     fs.create_dir(at, recursive=True)
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    p = pages.filter(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     each = p.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= LEAST_REVISIT)
     first = each.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = each.join(first, "digest").filter("page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")).distinct()
-    typed = p.join(again, (p["page_id"] == F.col("again")) & (p["digest"] == F.col("again_digest")), "left")
+    again = each.join(first, "digest").filter("page_id is null and first is not null or page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")).distinct()
+    typed = p.join(again, p["page_id"].eqNullSafe(F.col("again")) & (p["digest"] == F.col("again_digest")), "left")
     entries_at = f"{folder}/entries"
     write_records(typed.select("page_id", url_key(F.col("url")).alias("key"), "url", "payload", "digest", "refers_to"), folder).write.parquet(entries_at)
     entries = spark.read.parquet(entries_at)
     index_at = f"{folder}/index"
     write_index(entries, folder).write.parquet(index_at)
     files = [tuple(r) for r in spark.read.parquet(index_at).select("first", "page_id", "file", "offset", "length").collect()]  # one a partition
-    return folder, entries.select("key", "page_id"), files
+    return folder, entries.select("key", "page_id", "length"), files
 
 
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, captures, files = archive(read_table(spark, sf_dir, "pages"))
-    wanted = captures.distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # captures of one key and page are found together; a number of its own, as the records are far larger than the rows that ask for them
+    wanted = captures.select("key", "page_id").distinct().repartitionByRange(tasks_for(captures), "key", "page_id").sortWithinPartitions("key", "page_id")
     return fetch(wanted, folder, files)

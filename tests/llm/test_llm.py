@@ -326,6 +326,11 @@ def test_embeddings(spark):
     root = brute.roots(dict(data), edges)
     assert got == {i: (sum(i in e for e in edges), root[i], root[i] == i) for i, _ in data}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    again = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (1, a), (None, a), (None, [1.0, 1.0]), (None, None), (4, None)], "vec_id long, embedding array<double>")
+    got = rows(embeddings.near_duplicates(again), "vec_id")
+    want = [(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (1, 3, 1, True), (None, 3, 1, False), (None, 0, None, True), (None, 0, None, True), (4, 0, 4, True)]
+    assert got == ordered(want)
 
 
 def test_warc(spark, tmp_path):
@@ -333,14 +338,18 @@ def test_warc(spark, tmp_path):
     pages = [(5, "http://a.b.com/x?y", big), (3, "http://A.b.com:80/", big), (9, None, big), (4, "odd", None), (6, "", ""), (7, "http://c.org/q", "small"), (8, "http://c.org/q", "small"), (None, "u", "z")]
     df = spark.createDataFrame([(i, u, h, 1) for i, u, h in pages], "page_id long, url string, html string, key int")
     folder, captures, files = warc.archive(df, str(tmp_path / "w"))
-    got = {r[0]: r[1:] for r in rows(warc.fetch(captures.distinct(), folder, files), "page_id")}
-    for i, _, h in pages[:-1]:
+    got = {r[0]: r[1:] for r in rows(warc.fetch(captures.select("key", "page_id").distinct(), folder, files), "page_id")}
+    for i, _, h in pages:
         raw = (h or "").encode()
         assert got[i] == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if h == big and i != 3 else "response", 3 if h == big and i != 3 else None)
     index = warc.CaptureIndex(folder, files)
     (where,) = index.find("com,b,a)/x?y", 5)
     assert index.read(*where)["WARC-Type"] == "revisit" and list(index.find("com,zzz)/", 5)) == []
     assert warc.archive(df.limit(0), str(tmp_path / "e"))[2] == []
+    again = spark.createDataFrame([(1, "u", big), (1, "u", big), (1, "v", big), (2, "u", big), (2, "u", big), (None, "u", big), (None, None, "tiny"), (None, "w", big + "x")], "page_id long, url string, html string")
+    folder, captures, files = warc.archive(again, str(tmp_path / "r"))
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.fetch(captures.select("key", "page_id").distinct(), folder, files).collect()]
+    assert ordered(got) == ordered([(1, "response", None)] * 3 + [(2, "revisit", 1)] * 2 + [(None, "revisit", 1), (None, "response", None), (None, "response", None)])
 
 
 def test_decontamination(spark, monkeypatch):
