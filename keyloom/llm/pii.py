@@ -3,7 +3,8 @@
 Base patterns are exact rules and always kept. Beside them, generators of high recall propose overlapping spans: digit groups that may
 be telephone or card numbers (every sequence of neighbouring groups with a fitting number of digits, as lines may hold several numbers
 side by side), addresses that are spelled out, colon-separated hexadecimal groups. Gradient-boosted trees score each
-candidate from its format and its context; a threshold for each kind, set on held-out examples to a precision of PRECISION, selects.
+candidate from its format and its context; a threshold for each kind, set on held-out examples to a precision of PRECISION but not under
+LEAST_SCORE, selects.
 No table labels spans, so the trees are trained here on EXAMPLES examples made by rule, with a fixed seed.
 
 All scans are linear in the text: patterns are anchored where a match must start, or at the sign that a match must hold.
@@ -33,6 +34,7 @@ from keyloom.sources.tables import read_table
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 4000
 PRECISION = 0.98
+LEAST_SCORE = 0.2
 CONTEXT = 40
 BLOCK = 10_000
 
@@ -157,7 +159,7 @@ def describe(text: str, start: int, end: int, kind: str) -> list[float]:
 class Boosted:
     """Gradient-boosted trees of depth 2 for logistic loss."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.3):
         self.trees, self.base = [], float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[:-1])) for c in x.T]
         below = [x[:, [j]] <= cuts[j] for j in range(x.shape[1])]
@@ -210,7 +212,12 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
     word = lambda: pick("river", "stone", "marta", "lee", "green", "anton", "sky", "mira")
 
     def phone() -> str:
-        return pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}")
+        area = pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"1 {d(3)} {d(3)} {d(4)}")
+        sep = pick(" ", " ", "-", ".")
+        return pick(area, area, sep.join([f"00{d(2)}", d(3), d(3), d(pick(3, 4))]), sep.join([f"0{d(3)}", d(3), d(4)]), sep.join([f"0{d(2)}", d(4), d(4)]))
+
+    def user() -> str:
+        return pick(f"{word()}{d(2)}", word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()[0]}.{word()}", f"{word()}-{word()}")
 
     def date() -> str:
         return pick(f"{pick('19', '20')}{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{pick('19', '20')}{d(2)}", f"{pick('19', '20')}{d(2)}-{pick('19', '20')}{d(2)}", f"{pick('19', '20')}{d(2)}.{d(2)}.{d(2)}")
@@ -225,7 +232,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
     good = [
         lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "fax ", ""), phone()),
         lambda: (pick("card number ", "pay with visa ", "credit card: ", "debit card "), card()),
-        lambda: (pick("mail ", "contact ", "write to ", ""), f"{word()}{d(2)}{pick(' at ', ' (at) ', '[at]')}{word()}{pick(' dot ', ' (dot) ', '[dot]')}{pick('com', 'org', 'net')}"),
+        lambda: (pick("mail ", "contact ", "write to ", ""), f"{user()}{pick(pick(' at ', ' (at) ', '[at]', ' [at] ') + word() + pick(' dot ', ' (dot) ', '[dot]', ' [dot] '), pick('(at)', ' (at) ', '[at]') + word() + '.')}{pick('com', 'org', 'net', 'de', 'info')}"),
         lambda: (pick("server ip ", "host ", "login from ", "address "), ":".join(f"{int(x):x}" for x in r.integers(256, 65536, 8))),
     ]
     bad = [
@@ -233,7 +240,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
         lambda: (pick("on ", "date ", "", "from "), date()),
         lambda: (pick("isbn ", "page ", "figure "), pick(f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(3)} {d(3)} {d(3)}")),
         lambda: (pick("total ", "", "sum of "), pick(f"{d(3)} {d(3)} {d(3)}", f"{d(1)} {d(2)} {d(3)} {d(2)}", f"{d(3)}.{d(3)}.{d(3)}")),
-        lambda: (pick("we met ", "look ", "stay "), f"at {word()}.{pick('then', 'the', 'com', 'it')}"),
+        lambda: (pick("we met ", "look ", "stay ", f"{word()} "), f"at {word()}.{pick('then', 'the', 'com', 'it', 'she', 'a')}"),
         lambda: (pick("at ", "", "time "), ":".join(d(2) for _ in range(4))),
     ]
     beside = [
@@ -278,7 +285,7 @@ def trained() -> tuple[Boosted, dict[str, float]]:
         order = np.argsort(-p[own])
         right = np.cumsum(y[test][own][order]) / np.arange(1, own.sum() + 1) if own.any() else np.zeros(0)
         fine = np.flatnonzero(right >= PRECISION)
-        limits[kind] = max(0.5, float(p[own][order][fine[-1]])) if len(fine) else 1.1
+        limits[kind] = max(LEAST_SCORE, float(p[own][order][fine[-1]])) if len(fine) else 1.1
     return model, limits
 
 
