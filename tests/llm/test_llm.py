@@ -286,7 +286,7 @@ def test_pii(spark):
 
 
 def planted(n=600):
-    """Things put into real documents, in formats, names and contexts of which the training examples hold only some: (text, start, end, kind)."""
+    """Things put into real documents: (text, start, end, kind). A development set: formats and thresholds were chosen with it in view."""
     r = np.random.default_rng(99)
     docs = [x["text"] for x in table("documents") if x["text"] and 50 < len(x["text"]) < 4000]
     d = lambda k: "".join(map(str, r.integers(0, 10, k)))
