@@ -32,7 +32,7 @@ from keyloom.llm.text import identified
 from keyloom.sources.tables import read_table
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES = 4000
+EXAMPLES = 8000
 PRECISION = 0.98
 LEAST_SCORE = 0.2
 CONTEXT = 40
@@ -51,8 +51,9 @@ JOINED_BEFORE = re.compile(r"[0-9]([ ()./_-]{0,3})\Z")
 JOINED_AFTER = re.compile(r"([ ()./_-]{0,3})[0-9]")
 DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2})(?![0-9])")
 HEX = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])")
+SHAPE = str.maketrans("123456789", "0" * 9)
 WORDS_NEAR = {
-    "email": re.compile(r"mail|contact|write|reach", re.I), "phone": re.compile(r"phone|tel|call|fax|mobile|cell|dial", re.I),
+    "email": re.compile(r"mail|contact|write|reach", re.I), "phone": re.compile(r"phone|tel|call|fax|mobile|cell|dial|\bring|my number|number is", re.I),
     "card": re.compile(r"card|visa|master|amex|credit|debit|payment", re.I), "ip": re.compile(r"\bip|host|address|server|login|ping", re.I),
     "other": re.compile(r"order|invoice|item|isbn|version|page|serial|ticket|total|date|figure|no\.|number", re.I),
 }
@@ -145,61 +146,62 @@ def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     nxt, join_after = text[end : end + 1], JOINED_AFTER.match(text, end)
     groups = re.findall(r"[0-9]+", s)
     sizes = [len(g) for g in groups] or [0]
+    shape = s.translate(SHAPE)
     seps, joins = re.findall(r"[^0-9()]+", s), (join_before, join_after and join_after[1].strip("()"))
     return [
         float(KINDS.index(kind)), len(digits), len(groups), max(sizes), min(sizes), float(luhn(digits)) if digits else 0.0, float("(" in s or "[" in s), s.count("-"), s.count("."), s.count("/"), s.count(" "), s.count(":"),
         float(prev.isalnum() or prev in ("_", "$", "#", "€")), float(nxt.isalnum() or nxt in ("_", "%")), float(sizes[0] == 4 and digits[:2] in ("19", "20")), float(s[:1] in "345(0"),
-        *near, float("dot" in s.lower()), float(s.count("::") > 0), float(len(set(sizes)) == 1), float(bool(re.search("[A-Fa-f]", s))),
+        *near, float("dot" in s.lower()), float(s.count("::") > 0), float(digits[:1] == "0") + float(digits[:2] == "00"), float(len(set(sizes)) == 1), float(bool(re.search("[A-Fa-f]", s))),
         # digits that a separator joins to the candidate (without or with a space), and whether the candidate has that separator within
         *[0.0 if j is None else 1.0 + (" " in j) for j in joins], *[float(j is not None and j in seps) for j in joins],
         sizes[0], sizes[-1], len(set(seps)), max(map(len, seps), default=0), float(bool(DATE.search(s))),
+        # whether a thing of the same shape stands beside it
+        *[float(shape in side.translate(SHAPE)) for side in (text[max(0, start - len(s) - 3) : start], text[end : end + len(s) + 3])],
     ]
 
 
 class Boosted:
-    """Gradient-boosted trees of depth 2 for logistic loss."""
+    """Gradient-boosted trees of DEPTH levels for logistic loss; splits are found over counts of binned values."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.3):
+    DEPTH = 3
+    BINS = 17
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.25):
         self.trees, self.base = [], float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[:-1])) for c in x.T]
-        below = [x[:, [j]] <= cuts[j] for j in range(x.shape[1])]
-        f = np.full(len(y), self.base)
+        n, m = x.shape
+        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS)[:-1])) for c in x.T]
+        codes = np.stack([np.searchsorted(c, v) + j * self.BINS for j, (c, v) in enumerate(zip(cuts, x.T, strict=True))], axis=1)
+        f = np.full(n, self.base)
+
+        def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+            """A leaf's value, or (feature, cut, below, above)."""
+            if depth and len(rows) > 1:
+                at = codes[rows].ravel()
+                sums = (np.bincount(at, np.repeat(v[rows], m), m * self.BINS).reshape(m, -1).cumsum(axis=1) for v in (g, h))
+                (left_g, left_h), (all_g, all_h) = sums, (g[rows].sum(), h[rows].sum())
+                gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1)
+                j, k = np.unravel_index(gain.argmax(), gain.shape)
+                low = codes[rows, j] <= j * self.BINS + k
+                if low.any() and not low.all():
+                    return int(j), float(cuts[j][k]), grow(rows[low], g, h, depth - 1), grow(rows[~low], g, h, depth - 1)
+            value = float(rate * g[rows].sum() / (h[rows].sum() + 1))
+            f[rows] += value
+            return value
+
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-f))
-            g, h = y - p, p * (1 - p)
-
-            def split(rows: np.ndarray, g=g, h=h):
-                best = (-1.0, 0, 0.0)
-                gs, hs = g[rows], h[rows]
-                for j, b in enumerate(below):
-                    left_g, left_h = gs @ b[rows], hs @ b[rows]
-                    gain = left_g**2 / (left_h + 1) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + 1)
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, float(cuts[j][k]))
-                return best[1:]
-
-            j, c = split(np.arange(len(y)))
-            tree = [j, c, []]
-            for side in (x[:, j] <= c, x[:, j] > c):
-                rows = np.flatnonzero(side)
-                if not len(rows):
-                    tree[2].append((0, 0.0, 0.0, 0.0))
-                    continue
-                jj, cc = split(rows)
-                low, high = rows[x[rows, jj] <= cc], rows[x[rows, jj] > cc]
-                v = [rate * g[r].sum() / (h[r].sum() + 1) if len(r) else 0.0 for r in (low, high)]
-                f[low] += v[0]
-                f[high] += v[1]
-                tree[2].append((jj, cc, *v))
-            self.trees.append(tree)
+            self.trees.append(grow(np.arange(n), y - p, p * (1 - p), self.DEPTH))
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        def value(tree):
+            if isinstance(tree, float):
+                return tree
+            j, cut, below, above = tree
+            return np.where(x[:, j] <= cut, value(below), value(above))
+
         f = np.full(len(x), self.base)
-        for j, c, sides in self.trees:
-            first = x[:, j] <= c
-            for side, (jj, cc, low, high) in zip((first, ~first), sides, strict=True):
-                f += np.where(side, np.where(x[:, jj] <= cc, low, high), 0.0)
+        for tree in self.trees:
+            f += value(tree)
         return 1 / (1 + np.exp(-f))
 
 
@@ -211,10 +213,29 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
     pick = lambda *x: x[int(r.integers(0, len(x)))]
     word = lambda: pick("river", "stone", "marta", "lee", "green", "anton", "sky", "mira")
 
+    def grouped(n: int, sep: str) -> str:
+        """n digits in groups of one size, the last one larger where a single digit would be left."""
+        size, body = pick(2, 3, 4, n), d(n)
+        at = [i for i in range(0, n, size) if not i or n - i > 1]
+        return sep.join(body[i:j] for i, j in zip(at, [*at[1:], n], strict=True))
+
+    def trunk() -> str:
+        sep, area = pick(" ", "-", "."), f"0{pick(*'123456789')}{d(pick(0, 1, 1, 2, 2, 3))}"
+        if pick(0, 0, 0, 1):
+            area = f"({area})" + pick(" ", "")
+        else:
+            area += pick(sep, sep, "/", " / ", "-", " ")
+        return area + grouped(pick(6, 7, 7, 8, 8), sep)
+
     def phone() -> str:
-        area = pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"1 {d(3)} {d(3)} {d(4)}")
-        sep = pick(" ", " ", "-", ".")
-        return pick(area, area, sep.join([f"00{d(2)}", d(3), d(3), d(pick(3, 4))]), sep.join([f"0{d(3)}", d(3), d(4)]), sep.join([f"0{d(2)}", d(4), d(4)]))
+        sep, first = pick(" ", " ", "-", "."), pick("-", ".", " ", "/", "-")
+        area = pick(f"({d(3)}) {d(3)}{pick('-', ' ')}{d(4)}", f"{d(3)}{first}{d(3)}{pick('-', first)}{d(4)}", f"1{pick('-', ' ')}{d(3)}-{d(3)}-{d(4)}", f"1 {d(3)} {d(3)} {d(4)}")
+        abroad = sep.join([f"00{pick(*'123456789')}{d(1)}", d(pick(1, 2, 3)), grouped(pick(6, 7, 8), sep)])
+        return pick(area, area, trunk(), trunk(), abroad)
+
+    def number() -> str:
+        """Digit groups that only the context tells to be a telephone number."""
+        return pick(*"123456789") + grouped(pick(6, 7, 8, 9, 10), pick(" ", "-", "."))
 
     def user() -> str:
         return pick(f"{word()}{d(2)}", word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()[0]}.{word()}", f"{word()}-{word()}")
@@ -230,13 +251,15 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
         return sep.join(body[i : i + 4] for i in range(0, len(body), 4))
 
     good = [
-        lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "fax ", ""), phone()),
+        lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "my number is ", "fax ", ""), phone()),
+        lambda: (pick("call ", "phone: ", "tel. ", "my mobile is ", "my number is ", "fax "), number()),
         lambda: (pick("card number ", "pay with visa ", "credit card: ", "debit card "), card()),
         lambda: (pick("mail ", "contact ", "write to ", ""), f"{user()}{pick(pick(' at ', ' (at) ', '[at]', ' [at] ') + word() + pick(' dot ', ' (dot) ', '[dot]', ' [dot] '), pick('(at)', ' (at) ', '[at]') + word() + '.')}{pick('com', 'org', 'net', 'de', 'info')}"),
         lambda: (pick("server ip ", "host ", "login from ", "address "), ":".join(f"{int(x):x}" for x in r.integers(256, 65536, 8))),
     ]
     bad = [
         lambda: (pick("order ", "invoice no. ", "serial ", "ticket ", "", "item "), pick(d(7), d(8), d(9), d(12), d(14), f"{d(4)}-{d(5)}", f"{d(5)}-{d(6)}")),
+        lambda: (pick("order ", "invoice no. ", "serial ", "tracking number ", "total ", "item "), pick("", "", "0", "00") + number()),
         lambda: (pick("on ", "date ", "", "from "), date()),
         lambda: (pick("isbn ", "page ", "figure "), pick(f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(3)} {d(3)} {d(3)}")),
         lambda: (pick("total ", "", "sum of "), pick(f"{d(3)} {d(3)} {d(3)}", f"{d(1)} {d(2)} {d(3)} {d(2)}", f"{d(3)}.{d(3)}.{d(3)}")),
@@ -244,7 +267,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
         lambda: (pick("at ", "", "time "), ":".join(d(2) for _ in range(4))),
     ]
     beside = [
-        lambda: (pick("call me at ", "phone: ", "tel. ", "mobile ", "fax ", ""), [(phone(), 1), (phone(), 1)]),
+        lambda: (pick("call me at ", "phone: ", "tel. ", "my number is ", "fax ", "", "", ""), [(phone(), 1), (phone(), 1)]),
         lambda: (pick("call me at ", "phone: ", "tel. ", ""), [(phone(), 1), (date(), 0)]),
         lambda: (pick("on ", "date ", ""), [(date(), 0), (phone(), 1)]),
         lambda: (pick("card number ", "pay with visa ", "credit card: ", ""), [(card(" ", "-", ".", ""), 1), (f"{pick('0', '1')}{d(1)}{pick('/', '-')}{pick('', '20')}{d(2)}", 0)]),
