@@ -77,3 +77,17 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, e.v FROM reac
 c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.u = d.doc_id
 """
+
+SQL["op7_run_length_index"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+piece AS (SELECT doc_id, p, substr(x, 2 * p + 1, 2 * (1024 + 99)) AS s FROM d, unnest(range(0, n - 99, 1024)) t(p)),
+win AS (SELECT doc_id, p + i AS start, md5(substr(s, 2 * i + 1, 200)) AS w FROM piece, unnest(range(0, least(1024, len(s) // 2 - 99))) t(i)),
+later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS r FROM win) WHERE r > 1),
+step AS (SELECT doc_id, start, CASE WHEN start > lag(start) OVER o + 100 THEN 1 ELSE 0 END AS opens FROM later WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+numbered AS (SELECT doc_id, start, sum(opens) OVER (PARTITION BY doc_id ORDER BY start) AS g FROM step),
+span AS (SELECT doc_id, min(start) AS a, max(start) + 100 AS e FROM numbered GROUP BY doc_id, g),
+gone AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS e FROM span UNION ALL SELECT d.doc_id, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(x, 2 * gap.a + 1, 2 * (gap.e - gap.a)), '' ORDER BY gap.a))) AS kept_sha256 FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
