@@ -314,7 +314,7 @@ def search_block(head: np.ndarray, bodies: list[bytes], rule: Rule) -> np.ndarra
     return out
 
 
-def searched(cut: DataFrame, rule: Rule, shards: int) -> DataFrame:
+def searched(cut: DataFrame, rule: Rule, tasks: int) -> DataFrame:
     """(doc, tag, start, end): what repeated windows cover in the pieces of each shard."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -327,7 +327,7 @@ def searched(cut: DataFrame, rule: Rule, shards: int) -> DataFrame:
         return pa.table({"doc": s["doc"], "tag": s["tag"], "start": s["start"].astype(np.int64), "end": s["end"].astype(np.int64)})
 
     # a number of its own, as searches take far longer than the bytes of their contents would let one think
-    return cut.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "doc long, tag long, start long, end long")
+    return cut.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, "doc long, tag long, start long, end long")
 
 
 def marked(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -335,8 +335,10 @@ def marked(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     met = keep(meet_leaders(docs, rule), scratch_path(spark, "leads"))
     shards = bucket_count(docs, SHARD_BYTES)
-    cut = contents(docs, met.filter("lead is not null").select("doc", "tag", "start", "end", "lead"), rule, shards)
-    found = keep(searched(cut, rule, shards), scratch_path(spark, "repeats"))
+    asks = met.filter("lead is not null").select("doc", "tag", "start", "end", "lead")
+    # no more tasks than pieces: shards are counted by the size of the input, which Spark may not know
+    tasks = max(1, min(shards, asks.count()))
+    found = keep(searched(contents(docs, asks, rule, shards), rule, tasks), scratch_path(spark, "repeats"))
     spans = met.filter("lead is null").select("doc", "tag", "start", "end").union(found)
     by_row = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     return docs.join(by_row, ["doc", "tag"], "left").select("doc_id", "text", "cover")
