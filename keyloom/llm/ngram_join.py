@@ -36,10 +36,12 @@ from keyloom.sources.tables import read_table, scratch_path
 FREQUENT = 16
 #: The most frequent shingles that are kept for the order, 8 bytes each.
 FREQUENT_LIMIT = 1 << 20
-#: Least part of the hash range whose shingles are counted for that list.
+#: The part of the hash range, over that of leading shingles, whose shingles are counted in all sets for that list; above it, in one set of
+#: SAMPLED, which still finds what is in many sets: a document of many frequent shingles, or of few, leads with shingles from up there.
 COUNTED = 1.2
+SAMPLED = 4
 FLUSH = 400_000
-POSTING = np.dtype([("token", np.uint64), ("set", np.uint64), ("n", np.uint32)])
+POSTING = np.dtype([("token", np.uint64), ("set", np.uint64), ("before", np.uint64), ("n", np.uint32), ("at", np.uint32)])
 TOKEN = np.dtype([("token", np.uint64), ("sets", np.uint32)])
 ROW = np.dtype([("set", np.uint64), ("n", np.uint64), ("doc", np.int64), ("tag", np.int64)])
 
@@ -106,8 +108,8 @@ class CountTree:
 
 
 def survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One pass: rows (kind 0, shingle, number of sets) of shingles in FREQUENT sets or more among those of low hash, and (kind 1, set, n,
-    doc, tag) for each document; `set` names its set, 0 if empty. Shingles are counted in each batch before they are dealt."""
+    """One pass: rows (kind 0, shingle, number of sets) of shingles in FREQUENT sets or more, by an estimate for those of high hash, and
+    (kind 1, set, n, doc, tag) for each document; `set` names its set, 0 if empty. Shingles are counted in each batch before they are dealt."""
     buckets, top = bucket_count(docs), np.uint64(int(min(1.0, COUNTED * (100 - percent) / 100) * 2**64) - 1)
 
     def pack(held: list, rows: list) -> pa.RecordBatch:
@@ -130,7 +132,7 @@ def survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     r["set"][i], r["n"][i] = (name := set_id(s)), len(s)
                     if name and name not in seen:
                         seen.add(name)
-                        held.append(s[: np.searchsorted(s, top, "right")])
+                        held.append(s if name % SAMPLED == 0 else s[: np.searchsorted(s, top, "right")])
                         size += len(held[-1])
                 rows.append(r)
                 if size >= 2 * FLUSH:
@@ -142,7 +144,7 @@ def survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         r = undeal(table.column("blob").drop_null(), TOKEN)
         h, at = np.unique(r["token"], return_inverse=True)
-        c = np.bincount(at, weights=r["sets"], minlength=len(h)).astype(np.int64)
+        c = np.bincount(at, weights=r["sets"], minlength=len(h)).astype(np.int64) * np.where(h > top, SAMPLED, 1)
         h, c = h[c >= FREQUENT], c[c >= FREQUENT]
         r = undeal(table.column("rows").drop_null(), ROW)
         none = np.zeros(len(h), np.int64)
@@ -194,7 +196,8 @@ def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFram
                     seen.add(name)
                     lead = leading(s, known.value)
                     r = np.empty(len(lead), POSTING)
-                    r["token"], r["set"], r["n"] = lead, name, len(s)
+                    r["token"], r["set"], r["n"], r["at"] = lead, name, len(s), np.arange(len(lead))
+                    r["before"][:1], r["before"][1:] = 0, lead[:-1]
                     held.append(r)
                     size += len(r)
                     names.append(name)
@@ -219,10 +222,17 @@ def groups(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFram
                 continue
             i, j = np.triu_indices(m, 1)
             a, b = r[(x[:, None] + i).ravel()], r[(x[:, None] + j).ravel()]
-            ok = np.minimum(a["n"], b["n"]).astype(np.int64) * 100 >= percent * np.maximum(a["n"], b["n"]).astype(np.int64)
+            # where a pair first meets, no more than what follows is shared, and the shingles before differ; elsewhere it need not be told again
+            n, o = a["n"].astype(np.int64), b["n"].astype(np.int64)
+            ok = np.minimum(n - a["at"], o - b["at"]) >= needed(n, o, percent)
+            ok &= (a["before"] != b["before"]) | (a["before"] == 0)
             pairs.append(np.unique(np.stack([a["set"][ok], b["set"][ok]], axis=1), axis=0))
         p = np.unique(np.sort(np.concatenate(pairs).view(np.int64), axis=1), axis=0)
-        large = np.repeat(size >= FREQUENT, size)
+        # a group whose members all come from one shingle lies within that one's group
+        told = np.zeros(len(size), bool)
+        if len(r):
+            told = (np.minimum.reduceat(r["before"], start) == np.maximum.reduceat(r["before"], start)) & (r["before"][start] != 0)
+        large = np.repeat((size >= FREQUENT) & ~told, size)
         sets = np.flatnonzero(table.column("set").is_valid().to_numpy())
         names = table.column("set").take(pa.array(sets)).to_numpy()
         sets = sets[np.unique(names, return_index=True)[1]]

@@ -148,6 +148,30 @@ def test_ngram_large_groups(spark, monkeypatch):
     assert rows(ngram_join.similar_components(frame(spark, texts), tile=16)) == ordered(brute.ngram_join(texts))
 
 
+def met(spark, texts):
+    """Pairs and members of large groups that `texts` are made to meet in."""
+    docs = ngram_join.keyed(frame(spark, texts))
+    rows = ngram_join.groups(docs, 5, 75, ngram_join.frequent(ngram_join.survey(docs, 5, 75))).groupBy("kind").count().collect()
+    return [{r["kind"]: r["count"] for r in rows}.get(kind, 0) for kind in (0, 1)]
+
+
+def test_ngram_common_passage(spark):
+    """Documents that share a passage, less than a link needs, don't meet by it, whatever the hashes of its shingles."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [(i, passage + " " + " ".join(f"d{i}w{j}" for j in range(20))) for i in range(240)]
+    assert met(spark, texts) == [0, 0]
+    assert rows(ngram_join.similar_components(frame(spark, texts))) == ordered(brute.ngram_join(texts))
+
+
+def test_ngram_copies_meet_seldom(spark):
+    """Near copies meet where they first share a shingle and where they part, not at each shingle they share."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join([*base[: 20 * i], f"v{i}", *base[20 * i + 1 :]])) for i in range(12)]
+    assert met(spark, texts)[0] < 5 * 66
+    texts += [(100 + i, " ".join([*base[: 9 * i], f"u{i}", *base[9 * i + 1 :]])) for i in range(30)]
+    assert rows(ngram_join.similar_components(frame(spark, texts), tile=16)) == ordered(brute.ngram_join(texts))
+
+
 def test_keep_first(spark):
     texts = repeated()
     sets, root = brute.similar(texts)
